@@ -1,0 +1,11 @@
+"""The registered queries over the reference-style operators, and their DuckDB oracles."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}

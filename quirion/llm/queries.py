@@ -21,5 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), byte_bpe)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.secret_scan import scan_secrets
+
+    common.small_batches(spark)
+    return scan_secrets(common.table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op2_token_counts": op2_token_counts}
+    return {f.__name__: f for f in (op2_token_counts, op9_secret_scan)}

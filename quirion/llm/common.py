@@ -59,19 +59,16 @@ def small_batches(spark: SparkSession) -> None:
 def ranked(df: DataFrame, group: list[str], order: list[str], salt: str, out: str) -> DataFrame:
     """Adds a rank from 1 in each group, by ``salt`` and then ``order``, without bringing a group together.
 
-    ``salt`` is a column of small integers that splits a group evenly. Rows are counted by group and salt, the
-    counts are summed up over the salts before, and only rows of one salt are ranked against each other.
+    ``salt`` is a column of integers that splits a large group evenly. Rows are counted by group and salt, the counts
+    are summed up over the salts before, and only rows of one salt are ranked against each other. Neither ``group`` nor
+    ``salt`` may hold nulls.
     """
     keys = [*group, salt]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    for k in keys:
-        starts = starts.withColumnRenamed(k, f"__{k}")
+    starts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    found = inside.join(starts, same, "left")
-    return found.select(*df.columns, (F.col("__rank") + F.col("__start")).alias(out))
+    return inside.join(starts, keys).select(*df.columns, (F.col("__rank") + F.col("__start")).alias(out))
 
 
 def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:

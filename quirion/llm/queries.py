@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirion.llm import common
 
@@ -28,5 +29,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(common.table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.sharding import shard
+
+    placed = shard(common.table(spark, sf_dir, "documents"), 16, ["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_token_counts, op9_secret_scan, op10_sharding)}

@@ -36,5 +36,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.mixing import mix
+
+    mixed = mix(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_token_counts, op4_mixing, op9_secret_scan, op10_sharding)}

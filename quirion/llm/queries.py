@@ -22,6 +22,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), byte_bpe)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.simhash import near_duplicates
+
+    common.small_batches(spark)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=2)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.secret_scan import scan_secrets
 
@@ -44,4 +51,4 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op4_mixing, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_token_counts, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}

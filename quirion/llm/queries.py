@@ -43,6 +43,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(common.table(spark, sf_dir, "documents"), words=5)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.mixing import mix
 
@@ -51,4 +57,4 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}

@@ -15,6 +15,13 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.decontamination import find_leaks
+
+    common.small_batches(spark)
+    return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.token_counts import count_tokens
 
@@ -57,4 +64,4 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,14 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        return -1
-
-
 class Items:
     """Benchmark items by the ids of their words, and the positions of their runs of ``SEED`` words."""
 
-    def __init__(self, items: list[tuple]):
-        self.names = [name for name, _ in items]
+    def __init__(self, items: pa.Table):
+        self.names = items.column(0).combine_chunks()
         vocabulary: dict[str, int] = {}
-        self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64) for _, text in items]
-        self.ids = _Ids(vocabulary)
+        self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64) for text in items.column(1).to_pylist()]
+        self.ids = vocabulary
         self.base = max(1, len(vocabulary))
         places = defaultdict(list)
         for k, w in enumerate(self.words):
@@ -72,7 +68,7 @@ class Items:
 
     def of(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
     def hits(self, ids: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document at which a run of the items starts, and the numbers of these runs."""
@@ -156,13 +152,13 @@ class Search:
         return found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[pa.Table]:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\w+")), F.lit(0))
     total = benchmark.agg(F.sum(size).alias("n")).first()["n"] or 0
     n = -(-total // BLOCK)
     for k in range(n):
         block = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        yield [tuple(r) for r in block.select(item_col, text_col).collect()]
+        yield block.select(item_col, text_col).toArrow()
 
 
 def _searches(docs: DataFrame, benchmark: DataFrame, least: float, item_col: str, text_col: str) -> Iterator[Search]:
@@ -209,11 +205,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col
                     leaks = search.leaks(text)
                     if leaks:
                         spans = [m.span() for m in _WORDS.finditer(text.lower())]
-                        rows += [(search.items.names[i], score, spans[a][0], spans[b - 1][1]) for i, score, a, b in leaks]
+                        rows += [(i, score, spans[a][0], spans[b - 1][1]) for i, score, a, b in leaks]
                         at += [k] * len(leaks)
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
-                names = pa.array(columns[0]) if rows else pa.nulls(0)
+                names = search.items.names.take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, names, pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["id", "item", "score", "start", "end"])
 
         found = found.union(docs.select(id_col, text_col).mapInArrow(run, schema))

@@ -79,3 +79,16 @@ def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
         return []
     found = docs.agg(F.percentile_approx(id_col, shares, max(10_000, 20 * parts)).alias("b")).first()["b"]
     return sorted(set(found or []))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int) -> DataFrame:
+    """Inner join with a table of one row a key, in which ``count`` is the number of left rows with the key.
+
+    Keys with over one ``most``-th of the counted rows, of which there can't be more than ``most``, are broadcast, so
+    that their rows stay where they are; all others are joined as usual. ``count`` is dropped.
+    """
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    is_hot = F.col(count) > max(1, total // most)
+    hot, rest = right.filter(is_hot).drop(count), right.filter(~is_hot).drop(count)
+    usual = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(hot), key).unionByName(usual)

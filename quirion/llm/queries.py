@@ -36,6 +36,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=2)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.line_dedup import repeated_units
+
+    common.small_batches(spark)
+    return repeated_units(common.table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.secret_scan import scan_secrets
 
@@ -64,4 +71,4 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op8_line_dedup, op9_secret_scan, op10_sharding)}

@@ -36,6 +36,8 @@ BITS = 64
 PARTITIONS = 3
 #: Fingerprints that a bucket may have to be paired directly.
 BUCKET = 64
+#: A fingerprint with over this share of all rows counts as hot; so there are at most as many.
+HOT = 2000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -251,11 +253,11 @@ def _crowded_links(fps: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of the input: its id, ``fingerprint`` in hex and ``component_id``, the smallest id reachable."""
     marked = common.cut(fingerprints(docs, words, id_col, text_col))
-    fps = common.cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
+    fps = common.cut(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
     grouped = components(links(fps, threshold)).select(F.col("node").alias("fp"), "label")
     members = grouped.join(fps, "fp")
     smallest = members.groupBy("label").agg(F.min("first").alias("component_id"))
     resolved = grouped.join(smallest, "label").select("fp", "component_id")
-    ids = fps.join(resolved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    ids = fps.join(resolved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(ids, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+    return common.join_hot(marked, ids, "fp", "n", HOT).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")

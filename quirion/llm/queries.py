@@ -36,6 +36,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=2)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirion.llm.language_id import learn, predict
+
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    return predict(docs, learn(docs))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.token_store import read_store, write_store
 
@@ -79,4 +87,4 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op7_token_store, op8_line_dedup, op9_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op6_language_id, op7_token_store, op8_line_dedup, op9_secret_scan, op10_sharding)}

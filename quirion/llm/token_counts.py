@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 #: The byte-level pattern of the tokenizer files. White space is spelled out: it is the Unicode property.
 _WS = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+# No two alternatives start alike but for the contractions, so letters, the most frequent, may come first.
+PIECES = regex.compile(rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Characters outside these ranges may be letters in one release of Unicode and unassigned in another; texts with such
 #: characters are cut by the library itself, so that the pieces agree with it.
 UNSETTLED = regex.compile(r"[^\u0000-\u0557\u1E00-\u206F\u20A0-\u20BF\u2100-\u2BFF\u3000-\u9FEF\uAC00-\uD7A3\uFE00-\uFFEF\U0001F300-\U0001F9FF]")

@@ -39,7 +39,8 @@ MARK = b"QUIRTOK1"
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 16 << 20
 LEVELS = 40
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers, at some 200 bytes each; forgotten together when full.
+REMEMBERED = 1_200_000
 
 
 # --- the index ------------------------------------------------------------------------------------------------------
@@ -160,16 +161,18 @@ class Encoder:
         if self.cutter.special and self.cutter.special.search(text):
             return self._library(text)
         pieces, known = self.cutter.pieces(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        parts = list(map(known.get, pieces))
+        if None not in parts:
+            return b"".join(parts)
+        new = list({p: None for p, x in zip(pieces, parts, strict=True) if x is None})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(dict.fromkeys(pieces))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.kind).tobytes()
+        # As separate words of one input: the library says which ids are whose.
+        made = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, self.kind).tobytes()
+        cuts = (np.searchsorted(np.array(made.word_ids), np.arange(len(new) + 1)) * self.kind.itemsize).tolist()
+        known.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
         return b"".join(map(known.__getitem__, pieces))
 
 

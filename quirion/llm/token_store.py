@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirion.llm import common
-from quirion.llm.token_counts import MergeCounter
+from quirion.llm.token_counts import MergeCounter, byte_alphabet
 
 MARK = b"QUIRTOK1"
 #: Bytes of text in a shard, about.
@@ -142,8 +142,8 @@ class Index:
 class Encoder:
     """Ids of whole texts as bytes.
 
-    The library encodes each distinct piece of the text once and what it gave is remembered: merges never cross pieces,
-    so a text's ids are those of its pieces. Texts with special strings are encoded by the library whole.
+    The library's model encodes each distinct piece of the text once and what it gave is remembered: merges never cross
+    pieces, so a text's ids are those of its pieces. Texts with special strings are encoded by the library whole.
     """
 
     def __init__(self, path: str):
@@ -152,6 +152,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.cutter = MergeCounter(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.model, self.letters = self.library.model, byte_alphabet()
         self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -164,15 +166,12 @@ class Encoder:
         parts = list(map(known.get, pieces))
         if None not in parts:
             return b"".join(parts)
-        new = list({p: None for p, x in zip(pieces, parts, strict=True) if x is None})
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(pieces) > REMEMBERED:
             known.clear()
-            new = list(dict.fromkeys(pieces))
-        # As separate words of one input: the library says which ids are whose.
-        made = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, self.kind).tobytes()
-        cuts = (np.searchsorted(np.array(made.word_ids), np.arange(len(new) + 1)) * self.kind.itemsize).tolist()
-        known.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for p in pieces:
+            if p not in known:
+                tokens = self.model.tokenize(p.encode("utf-8").decode("latin-1").translate(self.letters))
+                known[p] = struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
         return b"".join(map(known.__getitem__, pieces))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quirion.llm import common
 
 
@@ -87,4 +88,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_fingerprints, op4_mixing, op5_simhash, op6_language_id, op7_token_store, op8_line_dedup, op9_secret_scan, op10_sharding)}
+    own = (
+        op1_decontamination,
+        op2_token_counts,
+        op3_fingerprints,
+        op4_mixing,
+        op5_simhash,
+        op6_language_id,
+        op7_token_store,
+        op8_line_dedup,
+        op9_secret_scan,
+        op10_sharding,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}

@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline
+from quirion.llm import decontamination, mixing
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows that go into each stage and come out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        found[name] = docs.collect(), out.collect(), docs.columns, out.columns
+        docs = out
+    return found
+
+
+def test_columns(stages):
+    for name, (_, _, before, after) in stages.items():
+        assert after == before + (["shard", "slot"] if name == "sharding" else [])
+
+
+def test_language_keeps_clean_documents(stages):
+    before, after, *_ = stages["language"]
+    kept = {r.doc_id for r in after}
+    assert kept <= {r.doc_id for r in before}
+    assert not [r.doc_id for r in before if len(r.text) > 100 and r.doc_id not in kept]
+
+
+def test_near_duplicates_against_brute_force(stages):
+    before, after, *_ = stages["near_duplicates"]
+    sets = {}
+    for r in before:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.lower())
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    shared = Counter((a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    like = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    kept = {r.doc_id for r in after}
+    assert not [p for p, j in like.items() if j >= 0.84 and p[0] in kept and p[1] in kept]
+    assert not [p for p, j in like.items() if j == 1 and p[0] in kept and p[1] in kept]
+    near = {i for p, j in like.items() if j >= 0.74 for i in p}
+    assert set(sets) - near <= kept
+
+
+def test_decontamination_against_brute_force(spark, stages):
+    before, after, *_ = stages["decontamination"]
+    items = [" ".join(decontamination.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {r.doc_id for r in after}
+    for r in before:
+        words = " ".join(decontamination.words_of(r.text))
+        assert (r.doc_id in kept) == (not any(f" {i} " in f" {words} " for i in items)), r.doc_id
+
+
+def test_mix_comes_near_its_targets(stages):
+    before, after, *_ = stages["mixing"]
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    had, took = Counter(), Counter()
+    for rows, to in ((before, had), (after, took)):
+        for r in rows:
+            to[r.source] += size(r)
+    order = sorted(had)
+    want = mixing.capped_targets([had[s] for s in order], [1 + k % 3 for k in range(len(order))], sum(had.values()), 3)
+    assert all(abs(took[s] - t) <= 1 for s, t in zip(order, want, strict=True))
+    assert max(Counter(r.doc_id for r in after).values()) <= 3
+
+
+def test_shards(stages):
+    before, after, *_ = stages["sharding"]
+    key = lambda r: (r.doc_id, r.text)
+    assert Counter(map(key, before)) == Counter(map(key, after))
+    by_shard, of_text, size = defaultdict(list), {}, Counter()
+    for r in after:
+        by_shard[r.shard].append(r.slot)
+        assert of_text.setdefault(r.text, r.shard) == r.shard
+        size[r.shard] += len(r.text.encode()) + 1
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and len(by_shard) == 16
+    assert max(size.values()) < 1.2 * sum(size.values()) / 16
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and no rows pass all stages."""
+    rng = random.Random(1)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "und", "der", "les", "que", "with", "nicht"]) + rng.choice("abcdef") for _ in range(n))
+    rows = [(k, prose(40), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None]), None) for k in range(80)]
+    rows += [(None, prose(30), "en", "s1", 1), (200, None, "en", "s1", 0), (201, "", None, None, 0), (202, prose(20_000), "de", "s2", 5), rows[3], rows[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "nothing in common with any of these here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for n, given in enumerate((rows, [])):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+        assert (docs.count() > 0) == bool(given)

@@ -1,7 +1,37 @@
-"""DuckDB SQL for the corpus queries that SQL expresses."""
+"""DuckDB SQL for the corpus queries that SQL expresses.
+
+The others have none: they need XXH64, merges, alignments, a network, a knapsack, a binary search or offsets of pattern
+matches. Tests hold those against brute force, the library, exact round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+import corpus_pipeline
+from quirion.llm.line_dedup import LINE_WORDS, SENTENCE_WORDS
+
+#: Unicode white space, for a dialect that knows the ASCII kind only.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _words(e: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({e}), '{_WS}'), lambda w: w <> '')"
+
+
+_LINE_DEDUP = f"""
+WITH split_ AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
+lines AS (SELECT doc_id, txt, CAST(sum(length(txt) + 1) OVER (PARTITION BY doc_id ORDER BY nth) - length(txt) - 1 AS BIGINT) AS line, {_words('txt')} AS words FROM split_),
+parts AS (SELECT doc_id, line, len(words) AS of_line, unnest(regexp_extract_all(txt, '[^.!?]*[.!?]+|[^.!?]+')) AS txt, generate_subscripts(regexp_extract_all(txt, '[^.!?]*[.!?]+|[^.!?]+'), 1) AS nth FROM lines),
+sentences AS (SELECT doc_id, line, of_line, txt, CAST(line + sum(length(txt)) OVER (PARTITION BY doc_id, line ORDER BY nth) - length(txt) AS BIGINT) AS at_, {_words('txt')} AS words FROM parts),
+units AS (
+  SELECT doc_id, line, line AS at_, line + length(txt) AS until_, len(words) AS n, array_to_string(words, ' ') AS norm, true AS whole FROM lines WHERE len(words) >= {LINE_WORDS}
+  UNION ALL SELECT doc_id, line, at_, at_ + length(txt), len(words), array_to_string(words, ' '), false FROM sentences WHERE len(words) >= {SENTENCE_WORDS} AND len(words) < of_line),
+firsts AS (SELECT norm, min({{'last': doc_id IS NULL, 'id': doc_id, 'at_': at_}}) AS f, count(*) AS n FROM units GROUP BY norm HAVING count(*) > 1),
+removed AS (SELECT u.*, f.f.id AS first_doc_id, f.f.at_ AS first_start FROM units u JOIN firsts f USING (norm) WHERE NOT (u.doc_id IS NOT DISTINCT FROM f.f.id AND u.at_ = f.f.at_))
+SELECT doc_id, at_ AS "start", until_ AS "end", CAST(n AS BIGINT) AS n_words, first_doc_id, first_start FROM removed r
+WHERE whole OR NOT EXISTS (SELECT 1 FROM removed l WHERE l.whole AND l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.line = r.line)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op8_line_dedup": _LINE_DEDUP}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,0 +1,21 @@
+import duckdb
+import pytest
+
+from quirion.llm import oracles, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(oracles.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_every_operator_has_a_query():
+    names = list(queries.queries())
+    assert [n for n in names if n != "pipeline"] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11

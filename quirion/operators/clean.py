@@ -28,18 +28,20 @@ def noise_texts(blocks: DataFrame, page_counts: DataFrame, page_height: float =
     """
     centre = (F.coalesce("y0", F.lit(0.0)) + F.coalesce("y1", F.lit(page_height))) / 2
     zone = F.when(centre < page_height * HEADER_ZONE, "header").when(centre > page_height * FOOTER_ZONE, "footer")
-    own = _trimmed(blocks).filter(F.col("trimmed") != "").select("doc_id", zone.alias("zone"), "trimmed")
-    many = page_counts.filter("n_pages >= 2")
-    counted = own.filter("zone is not null").groupBy("doc_id", "zone", "trimmed").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("trimmed").rlike(_PAGE_NUMBER)
+    own = _trimmed(blocks).select("doc_id", zone.alias("zone"), "trimmed").filter("trimmed <> ''")
+    own = own.withColumn("number", number).filter(F.col("zone").isNotNull() | F.col("number"))
+    counted = own.groupBy("doc_id", "zone", "trimmed", "number").agg(F.count(F.lit(1)).alias("n"))
     least = F.greatest(F.lit(LEAST_REPEATS), (F.col("n_pages") * REPETITION).cast("int"))
-    repeated = counted.join(many, "doc_id").filter(F.col("n") >= least).select("doc_id", "zone", "trimmed")
-    numbers = own.filter(F.col("trimmed").rlike(_PAGE_NUMBER)).join(many, "doc_id", "left_semi").select("doc_id", F.lit("footer").alias("zone"), "trimmed")
-    return repeated.union(numbers).distinct()
+    repeated = F.when(F.col("zone").isNotNull() & (F.col("n") >= least), F.col("zone"))
+    zones = F.array_distinct(F.array_compact(F.array(repeated, F.when(F.col("number"), F.lit("footer")))))
+    found = counted.join(page_counts.filter("n_pages >= 2"), "doc_id").select("doc_id", F.explode(zones).alias("zone"), "trimmed")
+    return found.distinct()
 
 
 def clean_blocks(blocks: DataFrame, noise: DataFrame) -> DataFrame:
     """Blocks without blank and very short ones, and without those whose text is noise anywhere in their document."""
-    kept = _trimmed(blocks).filter((F.col("trimmed") != "") & (F.length("trimmed") >= LEAST_CHARS))
+    kept = _trimmed(blocks).filter(F.length("trimmed") >= LEAST_CHARS)  # blank ones have none
     return kept.join(noise.select("doc_id", "trimmed"), ["doc_id", "trimmed"], "left_anti").drop("trimmed")
 
 

@@ -51,8 +51,8 @@ def _chunks() -> dict[str, Query]:
 
 
 def _blocks() -> dict[str, Query]:
-    blocks = lambda s, d: D.derived(s, d, D.BLOCKS)
-    pages = lambda s, d: D.derived(s, d, D.BLOCK_PAGES)
+    blocks = lambda s, d: D.derived(s, d, D.SPARK_BLOCKS)
+    pages = lambda s, d: D.derived(s, d, D.SPARK_BLOCK_PAGES)
     counts = lambda s, d: pages(s, d).select("doc_id", "n_pages").distinct()
     noise = lambda s, d: clean.noise_texts(blocks(s, d), counts(s, d))
     kept = lambda s, d: clean.clean_blocks(blocks(s, d), noise(s, d))

@@ -41,30 +41,56 @@ lines AS (SELECT doc_id, <LINE> AS line, CAST(<IDX> AS INT) AS idx FROM {documen
 placed AS (SELECT doc_id, line, CAST(idx <DIV> 8 + 1 AS INT) AS page_number, CAST(idx % 8 AS INT) AS pos,
            CAST(max(idx <DIV> 8 + 1) OVER (PARTITION BY doc_id) AS INT) AS n_pages FROM lines)"""
 
-BLOCKS = f"""
-WITH {_LINES},
-body AS (
-  SELECT doc_id, page_number, CAST(pos + 1 AS INT) AS block_idx,
+_BODY = f"""
     CASE WHEN pos = 0 THEN <NTH>(<LIST>({", ".join(f"'{h}'" for h in HEADINGS)}), CAST((doc_id + page_number) % 16 + 1 AS INT))
          WHEN pos = 1 AND doc_id % 5 = 0 THEN concat('- ', line) WHEN pos = 2 AND doc_id % 5 = 1 THEN concat('1. ', line)
          WHEN pos = 3 AND doc_id % 7 = 0 THEN 'ab' ELSE line END AS text,
     CAST(CASE WHEN doc_id % 3 <> 0 OR pos = 7 THEN 50 WHEN pos = 6 THEN 270 WHEN pos % 2 = 0 THEN 50 ELSE 310 END AS DOUBLE) AS x0,
     CAST(CASE WHEN doc_id % 3 <> 0 OR pos = 7 THEN 545 WHEN pos = 6 THEN 325 WHEN pos % 2 = 0 THEN 280 ELSE 545 END AS DOUBLE) AS x1,
     CAST(90 + 80 * pos AS DOUBLE) AS y0, CAST(130 + 80 * pos AS DOUBLE) AS y1,
-    CAST(CASE WHEN pos = 0 THEN 18 ELSE 12 END AS DOUBLE) AS font_size, (pos = 0 AND doc_id % 2 = 0) AS is_bold
-  FROM placed),
+    CAST(CASE WHEN pos = 0 THEN 18 ELSE 12 END AS DOUBLE) AS font_size, (pos = 0 AND doc_id % 2 = 0) AS is_bold"""
+
+_NUMBER = """CASE doc_id % 4 WHEN 0 THEN CAST(page_number AS <STRING>) WHEN 1 THEN concat('Página ', CAST(page_number AS <STRING>))
+    WHEN 2 THEN concat(CAST(page_number AS <STRING>), ' / ', CAST(n_pages AS <STRING>)) ELSE concat('- ', CAST(page_number AS <STRING>), ' -') END"""
+_HEADER = "concat('TRIBUNAL - PROCESSO ', CAST(doc_id % 10 AS <STRING>))"
+
+
+_FIELDS = ("block_idx", "text", "x0", "x1", "y0", "y1", "font_size", "is_bold")
+
+
+def _margin(idx: int, text: str, y0: int, y1: int, size: int) -> list[str]:
+    """The values of a block in a page's margin, named like the columns of blocks."""
+    values = [str(idx), text, *(f"CAST({n} AS DOUBLE)" for n in (50, 545, y0, y1, size)), "false"]
+    return [f"{v} AS {f}" for v, f in zip(values, _FIELDS, strict=True)]
+
+
+_MARGINS = (_margin(0, _HEADER, 20, 50, 9), _margin(9, _NUMBER, 800, 820, 8), _margin(10, "'www.tribunal.example'", 780, 795, 8))
+_HEAD, _FOOT, _SITE = (", ".join(m) for m in _MARGINS)
+
+#: For DuckDB: lines of documents as blocks, with a header and footers on each page.
+BLOCKS = f"""
+WITH {_LINES},
+body AS (SELECT doc_id, page_number, CAST(pos + 1 AS INT) AS block_idx, {_BODY} FROM placed),
 margins AS (SELECT DISTINCT doc_id, page_number, n_pages FROM placed)
 SELECT * FROM body
-UNION ALL
-SELECT doc_id, page_number, 0, concat('TRIBUNAL - PROCESSO ', CAST(doc_id % 10 AS <STRING>)), CAST(50 AS DOUBLE), CAST(545 AS DOUBLE), CAST(20 AS DOUBLE), CAST(50 AS DOUBLE), CAST(9 AS DOUBLE), false FROM margins
-UNION ALL
-SELECT doc_id, page_number, 9, CASE doc_id % 4 WHEN 0 THEN CAST(page_number AS <STRING>) WHEN 1 THEN concat('Página ', CAST(page_number AS <STRING>))
-    WHEN 2 THEN concat(CAST(page_number AS <STRING>), ' / ', CAST(n_pages AS <STRING>)) ELSE concat('- ', CAST(page_number AS <STRING>), ' -') END,
-  CAST(50 AS DOUBLE), CAST(545 AS DOUBLE), CAST(800 AS DOUBLE), CAST(820 AS DOUBLE), CAST(8 AS DOUBLE), false FROM margins
-UNION ALL
-SELECT doc_id, page_number, 10, 'www.tribunal.example', CAST(50 AS DOUBLE), CAST(545 AS DOUBLE), CAST(780 AS DOUBLE), CAST(795 AS DOUBLE), CAST(8 AS DOUBLE), false FROM margins WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, page_number, {_HEAD} FROM margins
+UNION ALL SELECT doc_id, page_number, {_FOOT} FROM margins
+UNION ALL SELECT doc_id, page_number, {_SITE} FROM margins WHERE doc_id % 2 = 1
 """
 
+#: For Spark, the same in one pass: the first line of a page brings the page's margins along.
+SPARK_BLOCKS = f"""
+WITH lines AS (SELECT doc_id, line, CAST(idx div 8 + 1 AS INT) AS page_number, CAST(idx % 8 AS INT) AS pos, CAST((size(split(text, '\n', -1)) + 7) div 8 AS INT) AS n_pages
+               FROM {{documents}} LATERAL VIEW posexplode(split(text, '\n', -1)) AS idx, line),
+body AS (SELECT doc_id, page_number, pos, n_pages, {_BODY} FROM lines)
+SELECT doc_id, page_number, inline(filter(array(struct(pos + 1 AS block_idx, text, x0, x1, y0, y1, font_size, is_bold),
+  IF(pos = 0, struct({_HEAD}), NULL), IF(pos = 0, struct({_FOOT}), NULL), IF(pos = 0 AND doc_id % 2 = 1, struct({_SITE}), NULL)), r -> r IS NOT NULL)) FROM body
+"""
+
+SPARK_BLOCK_PAGES = """
+WITH lines AS (SELECT doc_id, CAST((size(split(text, '\n', -1)) + 7) div 8 AS INT) AS n_pages FROM {documents})
+SELECT doc_id, page_number, 'own text' AS text, n_pages FROM lines LATERAL VIEW explode(sequence(1, n_pages)) AS page_number
+"""
 BLOCK_PAGES = f"WITH {_LINES} SELECT DISTINCT doc_id, page_number, CAST('own text' AS <STRING>) AS text, n_pages FROM placed"
 
 PAGE_STATS = f"""

@@ -4,7 +4,8 @@ A text is cut into sentences that cover it: runs up to and including full stops,
 line break. Units are the lines and, for passages that sit inside longer lines, their sentences. Units are normalised
 (lower case, white space as one space) and need a number of words, so that stock phrases of a few words stay. The digest
 of a unit is gathered over all documents; its earliest occurrence, by document id and offset, is kept, and all others
-are to be removed. A removed line takes its sentences with it. Offsets are those of the original text.
+are to be removed. A removed line takes its sentences with it. What stands closely together makes a run, and a run needs a
+number of words in all, so that passages go while a shared line of a few words stays. Offsets are those of the original text.
 
 Digests are counted with partial sums, so a line that a third of all rows share needs no more than its own row; the
 rows of such lines are handled by a broadcast of at most ``HOT`` digests.
@@ -28,6 +29,8 @@ from quirion.llm import common
 
 #: Words that a unit needs: whole lines, and sentences inside a line.
 LINE_WORDS, SENTENCE_WORDS = 4, 8
+#: Words that a run of units needs, and characters that may lie between its units.
+RUN_WORDS, RUN_GAP = 24, 60
 #: A digest with over this share of all repeated units counts as hot; so there are at most as many.
 HOT = 2000
 _LINES = re.compile(r"[^\n]+")
@@ -67,7 +70,9 @@ def unit_table(docs: DataFrame, line_words: int, sentence_words: int, id_col: st
     return given.mapInArrow(run, f"id {kind}, digest binary, start long, end long, n_words long, line long")
 
 
-def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(
+    docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """A row for each unit to remove: its document, offsets and words, and the place of the occurrence that is kept."""
     all_units = unit_table(docs, line_words, sentence_words, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("start").alias("at"))
@@ -75,11 +80,16 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     groups = common.cut(groups.select("digest", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_start"), "n"))
     found = common.join_hot(all_units, groups, "digest", "n", HOT)
     found = found.filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))))
-    # Repeated rows give a unit once; a removed line takes its sentences with it.
-    found = found.dropDuplicates(["id", "start", "end"])
-    is_line = F.max(F.when(F.col("start") == F.col("line"), F.col("end"))).over(Window.partitionBy("id", "line"))
-    found = found.withColumn("__line_end", is_line)
-    found = found.filter((F.col("start") == F.col("line")) & (F.col("end") == F.col("__line_end")) | F.col("__line_end").isNull() | (F.col("end") > F.col("__line_end")))
+    # From here on everything is about one document at a time. Repeated rows give a unit once.
+    found = found.drop("digest").repartition("id").dropDuplicates(["id", "start", "end"])
+    # The longest removed unit from a line's start: the line itself, or its first sentence, in which no other lies.
+    longest = F.max(F.when(F.col("start") == F.col("line"), F.col("end"))).over(Window.partitionBy("id", "line"))
+    inside = (F.col("end") <= F.col("__longest")) & ~((F.col("start") == F.col("line")) & (F.col("end") == F.col("__longest")))
+    found = found.withColumn("__longest", longest).filter(~F.coalesce(inside, F.lit(False)))
+    order = Window.partitionBy("id").orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("end").over(order) > RUN_GAP, F.lit(False)).cast("int")
+    found = found.withColumn("__apart", apart).withColumn("__run", F.sum("__apart").over(order))
+    found = found.withColumn("__words", F.sum("n_words").over(Window.partitionBy("id", "__run"))).filter(F.col("__words") >= run_words)
     return found.select(F.col("id").alias(id_col), "start", "end", "n_words", F.col("first_id").alias(f"first_{id_col}"), "first_start")
 
 
@@ -95,9 +105,11 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The documents with repeated units cut out of their texts; rows, columns and texts without repeats stay."""
-    spans = repeated_units(docs, line_words, sentence_words, id_col, text_col)
+    spans = repeated_units(docs, line_words, sentence_words, run_words, id_col, text_col)
     places = F.sort_array(F.collect_list(F.struct("start", "end")))
     spans = spans.groupBy(F.col(id_col).alias("__id")).agg(places.alias("__spans")).select("__id", F.col("__spans.start").alias("__starts"), F.col("__spans.end").alias("__ends"))
     cut = F.udf(lambda text, starts, ends: text if starts is None else without(text or "", list(zip(starts, ends, strict=True))), "string", useArrow=True)

@@ -7,7 +7,7 @@ matches. Tests hold those against brute force, the library, exact round trips or
 from __future__ import annotations
 
 import corpus_pipeline
-from quirion.llm.line_dedup import LINE_WORDS, SENTENCE_WORDS
+from quirion.llm.line_dedup import LINE_WORDS, RUN_GAP, RUN_WORDS, SENTENCE_WORDS
 
 #: Unicode white space, for a dialect that knows the ASCII kind only.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -26,9 +26,12 @@ units AS (
   SELECT doc_id, line, line AS at_, line + length(txt) AS until_, len(words) AS n, array_to_string(words, ' ') AS norm, true AS whole FROM lines WHERE len(words) >= {LINE_WORDS}
   UNION ALL SELECT doc_id, line, at_, at_ + length(txt), len(words), array_to_string(words, ' '), false FROM sentences WHERE len(words) >= {SENTENCE_WORDS} AND len(words) < of_line),
 firsts AS (SELECT norm, min({{'last': doc_id IS NULL, 'id': doc_id, 'at_': at_}}) AS f, count(*) AS n FROM units GROUP BY norm HAVING count(*) > 1),
-removed AS (SELECT u.*, f.f.id AS first_doc_id, f.f.at_ AS first_start FROM units u JOIN firsts f USING (norm) WHERE NOT (u.doc_id IS NOT DISTINCT FROM f.f.id AND u.at_ = f.f.at_))
-SELECT doc_id, at_ AS "start", until_ AS "end", CAST(n AS BIGINT) AS n_words, first_doc_id, first_start FROM removed r
-WHERE whole OR NOT EXISTS (SELECT 1 FROM removed l WHERE l.whole AND l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.line = r.line)
+removed AS (SELECT u.*, f.f.id AS first_doc_id, f.f.at_ AS first_start FROM units u JOIN firsts f USING (norm) WHERE NOT (u.doc_id IS NOT DISTINCT FROM f.f.id AND u.at_ = f.f.at_)),
+outer_ AS (SELECT * FROM removed r WHERE whole OR NOT EXISTS (SELECT 1 FROM removed l WHERE l.whole AND l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.line = r.line)),
+apart AS (SELECT *, CASE WHEN at_ - lag(until_) OVER (PARTITION BY doc_id ORDER BY at_) > {RUN_GAP} THEN 1 ELSE 0 END AS apart FROM outer_),
+runs AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY at_) AS run FROM apart)
+SELECT doc_id, at_ AS "start", until_ AS "end", CAST(n AS BIGINT) AS n_words, first_doc_id, first_start
+FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS run_words FROM runs) WHERE run_words >= {RUN_WORDS}
 """
 
 

@@ -6,7 +6,7 @@ import pytest
 from quirion.llm import line_dedup as L
 
 
-def spec(rows, line_words=4, sentence_words=8):
+def spec(rows, line_words=4, sentence_words=8, run_words=24):
     """Removed (id, start, end) and the place kept, by plain loops."""
     found = {}
     for i, text in rows:
@@ -31,7 +31,19 @@ def spec(rows, line_words=4, sentence_words=8):
                 removed[p[2], p[0][2], p[1]] = (first[2], first[0][2], p[3], p[4])
                 if p[3]:
                     lines.add((p[2], p[4]))
-    return {k: v[:2] for k, v in removed.items() if v[2] or (k[0], v[3]) not in lines}
+    left = {k: v[:2] for k, v in removed.items() if v[2] or (k[0], v[3]) not in lines}
+    texts, out = dict(rows), {}
+    for i in {k[0] for k in left}:
+        run, until = [], None
+        for k in [*sorted(k for k in left if k[0] == i), None]:
+            if run and (k is None or k[1] - until > 60):
+                if sum(len(texts[i][a:b].split()) for _, a, b in run) >= run_words:
+                    out |= {r: left[r] for r in run}
+                run = []
+            if k:
+                run.append(k)
+                until = k[2]
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -56,9 +68,10 @@ def rows():
 
 def test_equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
-    got = {(r.doc_id, r.start, r.end): (r.first_doc_id, r.first_start) for r in L.repeated_units(docs).collect()}
-    want = spec(rows)
-    assert got == want and len(want) > 200
+    for least, many in ((1, 200), (24, 100)):
+        got = {(r.doc_id, r.start, r.end): (r.first_doc_id, r.first_start) for r in L.repeated_units(docs, run_words=least).collect()}
+        want = spec(rows, run_words=least)
+        assert got == want and len(want) > many
 
 
 def test_texts(spark, rows):

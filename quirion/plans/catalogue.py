@@ -13,7 +13,8 @@ from quirion.plans import oracles, pipeline
 from quirion.providers import HashEmbedder
 from quirion.sources import derived as D
 from quirion.sources import objects
-from quirion.sources.tables import table
+from quirion.sources.tables import shared_folder, table
+from quirion.streaming.pages import streamed_chunks
 
 #: Options of the chunk queries.
 OPTIONS = ChunkOptions.resolve({"chunk_size": oracles.SIZE, "min_chunk_size": oracles.LEAST})
@@ -39,6 +40,7 @@ def _chunks() -> dict[str, Query]:
 
     return {
         "chunk_page": lambda s, d: _listed(chunk.page_chunks(turns(s, d))),
+        "chunk_page_stream": lambda s, d: _listed(streamed_chunks(s, turns(s, d), shared_folder(s, "stream"))),
         "chunk_events": chunk_events,
         "para_split": lambda s, d: chunk.paragraphs(pages(s, d), OPTIONS),
         "chunk_paragraph": lambda s, d: _listed(chunk.paragraph_chunks(pages(s, d), OPTIONS)),

@@ -77,6 +77,7 @@ def _chunks() -> dict[str, str]:
     UNION ALL SELECT t.doc_id, 2, NULL, 'COMPLETED', 'FINISHED', NULL, NULL, NULL, NULL, '', CAST(count(c.doc_id) AS INT), NULL FROM (SELECT DISTINCT doc_id FROM turns) t LEFT JOIN c USING (doc_id) GROUP BY t.doc_id"""
     return {
         "chunk_page": with_(turns, ("c", _PAGE_CHUNKS), then="SELECT * FROM c"),
+        "chunk_page_stream": with_(turns, ("c", _PAGE_CHUNKS), then="SELECT * FROM c"),
         "chunk_events": with_(turns, ("c", _PAGE_CHUNKS), then=ended),
         "para_split": with_(*own, then="SELECT * FROM paras"),
         "chunk_paragraph": with_(*own, *plain, then=_CHUNK_LIST.format("chunks"), recursive=True),

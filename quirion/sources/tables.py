@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quirion-")
+    return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -29,6 +29,14 @@ def chunk_stream(pages: DataFrame, out: str, checkpoint: str, chunker: Callable[
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def streamed_chunks(spark: SparkSession, pages: DataFrame, folder: str, files: int = 4) -> DataFrame:
+    """The page chunks of a table that is fed through the stream file by file; ``folder`` is shared by all machines."""
+    pages.repartition(files, "doc_id").write.mode("overwrite").parquet(f"{folder}/in")
+    stream = page_stream(spark, f"{folder}/in", pages.schema, 1)
+    chunk_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 def distinct_images(images: DataFrame) -> DataFrame:
     """One image of each content a document, over the whole stream; the state holds a row a document and hash."""
     return images.withColumn("image_hash", F.md5("image_data")).dropDuplicates(["doc_id", "image_hash"])

@@ -1,12 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quirion import providers
-from quirion.conf import EngineConf, VisionOptions
+from quirion.conf import ChunkOptions, EngineConf, VisionOptions
 from quirion.operators import clean, detect, events, extract, images, layout, preprocess, sections
 from quirion.plans import pipeline
-from quirion.conf import ChunkOptions
 from quirion.schema import BLOCK, IMAGE, PAGE_STATS, SPAN
 
 
@@ -190,8 +188,7 @@ def test_pipeline_with_images(spark):
     ]
 
 
-def test_anti_join_of_noise_shuffles_by_document(spark):
-    assert F.col  # the plan's exchanges are all on the document's key or on it and the text
+def test_layout_shuffles_once(spark):
     frame = blocks(spark, [(1, 0, "x", 0.0, 9.0, 1.0, 2.0, 12.0, False)])
     plan = layout.classify_areas(layout.reading_order(frame))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan

@@ -7,7 +7,7 @@ Every stage takes the documents that the stage before kept and returns the colum
 * near_duplicates: of each group of texts with a similarity of five-word shingles of 0.8 or more, the first stays.
 * decontamination: documents that hold a benchmark item go.
 * mixing: a document comes as often as the mix takes it, from not at all to three times.
-* sharding: rows are placed in 16 shards of near equal bytes; copies of a text share a shard, slots have no gaps.
+* sharding (columns ``shard`` and ``slot`` of the input are replaced): rows are placed in 16 shards of near equal bytes; copies of a text share a shard, slots have no gaps.
 """
 
 from __future__ import annotations
@@ -42,13 +42,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that operators look at, and the whole row beside them, so that no name can clash."""
+    return docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []), F.struct("*").alias("__row"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs).filter("times > 0")
-    return mixed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    mixed = mix(_packed(docs), keep=["__row"]).filter("times > 0")
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard(docs, SHARDS).select(*docs.columns, "shard", "slot")
+    placed = shard(_packed(docs.drop("shard", "slot")), SHARDS, keep=["__row"])
+    return placed.select("__row.*", "shard", "slot")
 
 
 STAGES = [

@@ -143,28 +143,29 @@ def mix(
         plan.append((r["__source"], k, r["words"], target, whole, 0 if whole == epochs else budget - whole * r["words"]))
     spark = docs.sparkSession
     kind = docs.select(source_col).schema[0].dataType.simpleString()
-    table = spark.createDataFrame(plan, f"name {kind}, code int, source_size long, target double, whole int, budget long")
+    table = spark.createDataFrame(plan, f"__name {kind}, __code int, source_size long, target double, __whole int, __budget long")
 
     def coded(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("name"))).drop("__source", "name")
+        return df.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__name"))).drop("__source", "__name")
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        takes = fit_budget(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0]))
-        return pd.DataFrame({"code": pdf["code"], "size": pdf["size"], "take": takes})
+        takes = fit_budget(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["__budget"].iloc[0]))
+        return pd.DataFrame({"__code": pdf["__code"], "size": pdf["size"], "__quota": takes})
 
-    quotas = coded(lengths).groupBy("code").applyInPandas(fitted, "code int, size long, take long")
+    pair = ["__code", "size"]
+    quotas = coded(lengths).groupBy("__code").applyInPandas(fitted, "__code int, size long, __quota long")
     most = max(1, n_rows // HOT_SHARE)
-    hot = coded(lengths.filter(F.col("n") > most)).select("code", "size", F.ceil(F.col("n") / most).alias("__parts"))
+    hot = coded(lengths.filter(F.col("n") > most)).select(*pair, F.ceil(F.col("n") / most).alias("__parts"))
     # Salts are ranges of the seeded hash, so that ranks by salt and then hash are ranks by hash.
     position = F.shiftrightunsigned("__hash", 33).cast("double") / float(1 << 31)
-    salted = coded(rows).join(F.broadcast(hot), ["code", "size"], "left")
-    salted = salted.withColumn("__salt", F.coalesce(F.floor(position * F.col("__parts")), F.lit(0))).drop("__parts", "budget")
-    keys = ["code", "size", "__salt"]
-    before = Window.partitionBy("code", "size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    salted = coded(rows).join(F.broadcast(hot), pair, "left")
+    salted = salted.withColumn("__salt", F.coalesce(F.floor(position * F.col("__parts")), F.lit(0))).drop("__parts", "__budget")
+    keys = [*pair, "__salt"]
+    before = Window.partitionBy(*pair).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    starts = starts.join(quotas, ["code", "size"]).select(*keys, (F.col("take") - F.col("__start")).alias("__take"))
+    starts = starts.join(quotas, pair).select(*keys, (F.col("__quota") - F.col("__start")).alias("__take"))
     inside = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", id_col if id_col in keep else "__hash")))
-    times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + (F.col("__rank") <= F.col("__take")).cast("int"))
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("__whole") + (F.col("__rank") <= F.col("__take")).cast("int"))
     return inside.join(starts, keys).select(*keep, "size", "source_size", "target", times.alias("times"))

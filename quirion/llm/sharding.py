@@ -102,5 +102,5 @@ def shard(docs: DataFrame, shards: int = 16, keep: list[str] | None = None, text
         list(zip(unit.tolist(), of.tolist(), (before - first).tolist(), spread.tolist(), strict=True)), "__unit int, shard int, __before long, __parts long"
     )
     placed = rows.join(F.broadcast(places), "__unit").withColumn("__salt", F.pmod(F.col("__spread"), F.col("__parts")))
-    found = common.ranked(placed, ["__unit"], ["__digest", tie_col], "__salt", "__rank_in_unit")
+    found = common.ranked(placed, ["__unit"], ["__digest", "__spread"], "__salt", "__rank_in_unit")
     return found.select(*keep, "size", "text_crc32", "shard", (F.col("__before") + F.col("__rank_in_unit") - 1).alias("slot"))

@@ -72,3 +72,6 @@ def test_operator(spark, rows):
     for s in order:
         assert abs(taken[s] - want[s]) <= 1, (s, taken[s], want[s])
     assert mix(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("*", "1 AS name", "2 AS code", "3 AS budget", "4 AS n", "5 AS whole")
+    assert mix(clashing).columns == ["doc_id", "text", "source", "name", "code", "budget", "n", "whole", "size", "source_size", "target", "times"]
+    assert mix(clashing).count() == len(rows)

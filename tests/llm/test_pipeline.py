@@ -96,7 +96,8 @@ def test_odd_rows(spark, tmp_path):
     prose = lambda n: " ".join(rng.choice(["the", "of", "und", "der", "les", "que", "with", "nicht"]) + rng.choice("abcdef") for _ in range(n))
     rows = [(k, prose(40), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", None]), None) for k in range(80)]
     rows += [(None, prose(30), "en", "s1", 1), (200, None, "en", "s1", 0), (201, "", None, None, 0), (202, prose(20_000), "de", "s2", 5), rows[3], rows[3]]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(*r, n, "kept", str(n), 0.5) for n, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, name string, shard string, score double"
     spark.createDataFrame([(1, "nothing in common with any of these here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for n, given in enumerate((rows, [])):
         docs = spark.createDataFrame(given, schema)
@@ -104,3 +105,5 @@ def test_odd_rows(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}-{name}")
             docs = spark.read.parquet(f"{tmp_path}/{n}-{name}")
         assert (docs.count() > 0) == bool(given)
+        # Columns with names that operators use come through unchanged.
+        assert {(r.doc_id, r.text, r.size, r.name, r.score) for r in docs.collect()} <= {(r[0], r[1], r[5], r[6], r[8]) for r in given}

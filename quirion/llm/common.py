@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
@@ -45,11 +43,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, which is evaluated once however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch brings to a Python worker; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirion.functions.arrays import let
 from quirion.llm import common
-from quirion.llm.common import let
 
 #: Bins of a fingerprint, the bits kept of each, and those of a hash that number its bin.
 BINS, LOW = 256, 4

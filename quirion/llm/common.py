@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from pyspark.sql import DataFrame, SparkSession, Window
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirion.functions.arrays import let
+
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -35,6 +39,12 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quirion-{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder; Spark's cleaner removes it with its last reference."""
     spark = df.sparkSession
@@ -44,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch brings to a Python worker; a smaller setting stays."""
+    """Bounds the rows of an Arrow batch, as Spark bounds its bytes; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     spark.conf.set(key, str(min(now, 1000) if now > 0 else 1000))
@@ -74,6 +84,32 @@ def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+class Ranges:
+    """Ranges of whole numbers between ascending bounds; range 0 is below or at the first one, and holds nulls.
+
+    A number's range is found in two looks at about the square root of the bounds each.
+    """
+
+    def __init__(self, bounds: list[int]):
+        self.bounds = bounds
+        self.step = max(1, math.isqrt(max(1, len(bounds)) - 1) + 1)
+        self.groups = [bounds[k : k + self.step] for k in range(0, len(bounds), self.step)]
+
+    def of(self, at: Column) -> Column:
+        """The number of bounds below ``at``."""
+        if not self.bounds:
+            return F.lit(0)
+        longs = lambda values: F.array(*(F.lit(v).cast("bigint") for v in values))
+        below = lambda values: F.size(F.filter(values, lambda b: b < at))
+        groups = F.array(*map(longs, self.groups))
+        inside = lambda g: F.when(g < len(self.groups), g * self.step + below(F.get(groups, g))).otherwise(len(self.bounds))
+        return let(below(longs(g[-1] for g in self.groups)), inside)
+
+    def ends(self, at: Column) -> Column:
+        """Whether ``at`` is one of the bounds."""
+        return F.coalesce(at.isin(self.bounds), F.lit(False)) if self.bounds else F.lit(False)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int) -> DataFrame:
     """Inner join with a table of one row a key, in which ``count`` is the number of left rows with the key.
 

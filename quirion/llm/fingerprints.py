@@ -126,16 +126,16 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     parts = max(2, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = common.id_bounds(rows, id_col, parts)
     top = rows.agg(F.max(id_col)).first()[0]
-    ends = sorted({*cuts, top} - {None})
-    bounds = F.lit(ends).cast("array<bigint>") if ends else F.array().cast("array<bigint>")
-    at = F.col(id_col)
+    at, ranges = F.col(id_col), common.Ranges(sorted({*cuts, top} - {None}))
+
     # Range 0 holds the smallest ids and the null ones; an id belongs to the first range whose bound it doesn't exceed.
-    own = F.coalesce(F.size(F.filter(bounds, lambda b: b < at)), F.lit(0))
-    guest = F.when(at == F.lit(top), F.lit(0)).when(F.array_contains(bounds, at), own + 1)
-    if top is None:
-        guest = F.lit(0)
-    places = F.filter(F.array(F.struct(own.alias("r"), F.lit(False).alias("g")), F.struct(guest.alias("r"), F.lit(True).alias("g"))), lambda p: p["r"].isNotNull())
-    dealt = rows.withColumn("__place", F.explode(places)).withColumns({"__range": F.col("__place.r"), "__guest": F.col("__place.g")}).drop("__place")
+    def places(own: Column) -> Column:
+        place = lambda r, guest: F.struct(r.alias("r"), F.lit(guest).alias("g"))
+        last = F.lit(True) if top is None else at == F.lit(top)
+        seen = F.when(last, F.array(place(own, False), place(F.lit(0), True))).when(ranges.ends(at), F.array(place(own, False), place(own + 1, True)))
+        return seen.otherwise(F.array(place(own, False)))
+
+    dealt = rows.withColumn("__place", F.explode(let(ranges.of(at), places))).withColumns({"__range": F.col("__place.r"), "__guest": F.col("__place.g")}).drop("__place")
     order = Window.partitionBy("__range").orderBy("__guest", F.col(id_col).desc_nulls_last(), columns[0])
     follow = {f"next_{c}": F.lead(c).over(order) for c in columns}
     return dealt.withColumns(follow).filter(~F.col("__guest")).drop("__range", "__guest")

@@ -209,8 +209,7 @@ class Store:
 
     def shard_of(self, id_col: str) -> F.Column:
         """The shard of an id: that of the first cut that it doesn't exceed. Null ids are in the first."""
-        cuts = F.lit(self.cuts).cast("array<bigint>") if self.cuts else F.array().cast("array<bigint>")
-        return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(id_col))), F.lit(0))
+        return common.Ranges(self.cuts).of(F.col(id_col))
 
 
 def write_store(docs: DataFrame, vocabulary: Callable[[], str], end: int | None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Store:

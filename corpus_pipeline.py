@@ -70,10 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that come out of all stages."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows that come out of all stages. What a stage wrote is deleted when the next one has written its rows."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = common.new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs

@@ -90,6 +90,11 @@ def test_shards(stages):
     assert max(size.values()) < 1.2 * sum(size.values()) / 16
 
 
+def test_run_gives_the_rows_of_the_stages(spark, stages):
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(map(str, got.select("doc_id", "shard", "slot").collect())) == sorted(str(r) for r in spark.createDataFrame(stages["sharding"][1]).select("doc_id", "shard", "slot").collect())
+
+
 def test_odd_rows(spark, tmp_path):
     """Nulls in any column, empty and long texts, repeated rows and no rows pass all stages."""
     rng = random.Random(1)

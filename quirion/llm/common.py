@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirion.functions.arrays import let
+from quirion.workers import findable
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, as Spark bounds its bytes; a smaller setting stays."""
+    """Bounds the rows of an Arrow batch, as Spark bounds its bytes; a smaller setting stays. Workers find the package."""
+    findable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     spark.conf.set(key, str(min(now, 1000) if now > 0 else 1000))

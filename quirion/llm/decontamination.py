@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, and Smith-Waterman alignment of what they bring together.
+"""Benchmark decontamination: n-gram seeds, and Smith-Waterman alignment of what they bring together.
 
-Every run of ``SEED`` words of a benchmark item is looked up in the whole corpus, and an item's seeds are the rarer half
-of its runs, by the number of documents that have them. As rarity is relative to the item, an item that leaks into very
-many documents keeps its seeds. Where a document has a seed, the words around it are aligned with the item's words;
-the score is the best local alignment (match 2, mismatch -1, gap -1) as a share of a full match, so that edited and
-paraphrased copies score by what they keep.
+Every run of ``SEED`` words of a benchmark item is a seed, however many documents have it or lack it: an edited copy may
+keep any of the item's runs. Where a document has a seed, the words around it, as far as an alignment that reaches the
+score can go, are aligned with the item's words; the score is the best local alignment (match 2, mismatch -1, gap -1) as
+a share of a full match, so that edited and paraphrased copies score by what they keep. A copy of which no ``SEED``
+words in a row are left isn't found, whatever its score. Windows with too few of the item's words are not aligned.
 
 The benchmark is taken in blocks of at most ``BLOCK`` words, each small enough to send to the executors, and all
 documents are searched for each block. Documents stay where they are: there is no shuffle of texts.
@@ -70,7 +70,7 @@ class Items:
         words = words_of(text)
         return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
-    def hits(self, ids: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document at which a run of the items starts, and the numbers of these runs."""
         code = self._codes(ids)
         at = np.flatnonzero(code >= 0)
@@ -79,20 +79,8 @@ class Items:
         found = np.searchsorted(self.runs, code[at])
         found = np.minimum(found, len(self.runs) - 1)
         real = self.runs[found] == code[at]
-        if allowed is not None:
-            real &= allowed[found]
         return at[real], found[real]
 
-    def seeds(self, documents: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each run, the items of which it is a seed, given the number of documents that have each run."""
-        rarest: dict[int, int] = {}
-        for k, w in enumerate(self.words):
-            codes = self._codes(w)
-            if len(codes):
-                counts = np.sort(documents[np.searchsorted(self.runs, codes)])
-                rarest[k] = int(counts[(len(counts) - 1) // 2])
-        return [[(k, at) for k, at in places if documents[r] <= rarest[k]] for r, places in enumerate(self.places)]
-
 
 def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Score of the best local alignment, and the position in the window after its last word.
@@ -115,29 +103,29 @@ def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 class Search:
     """Finds items in documents by their seeds."""
 
-    def __init__(self, items: Items, documents: np.ndarray, least: float):
+    def __init__(self, items: Items, least: float):
         self.items, self.least = items, least
-        self.of_run = items.seeds(documents)
-        self.allowed = np.array([bool(x) for x in self.of_run], bool)
 
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, after the last word) of the best alignment of each item that reaches the score."""
         ids = self.items.of(text)
-        at, runs = self.items.hits(ids, self.allowed)
+        at, runs = self.items.hits(ids)
         shifts: dict[int, list[int]] = defaultdict(list)
         for p, r in zip(at.tolist(), runs.tolist(), strict=True):
-            for k, q in self.of_run[r]:
+            for k, q in self.items.places[r]:
                 shifts[k].append(p - q)
         found = []
         for k, starts in shifts.items():
             item = self.items.words[k]
             n, full = len(item), MATCH * len(item)
             need = full if n < SHORT else self.least * full
+            # What an alignment may lose and still reach the score is the most words that it can skip in the document.
+            wide = int(full - need)
             starts = sorted(set(starts))
             groups = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > n // 2) + 1)
             best = (0, 0, 0)
             for g in groups:
-                a, b = max(0, int(g[0]) - n // 2), min(len(ids), int(g[-1]) + n + n // 2)
+                a, b = max(0, int(g[0]) - wide), min(len(ids), int(g[-1]) + n + wide)
                 window = ids[a:b]
                 # No alignment matches more words than the two have in common.
                 common = np.minimum(np.bincount(item, minlength=self.items.base), np.bincount(window[window >= 0], minlength=self.items.base)).sum()
@@ -161,29 +149,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[pa.T
         yield block.select(item_col, text_col).toArrow()
 
 
-def _searches(docs: DataFrame, benchmark: DataFrame, least: float, item_col: str, text_col: str) -> Iterator[Search]:
+def _searches(benchmark: DataFrame, least: float, item_col: str, text_col: str) -> Iterator[Search]:
     for block in _blocks(benchmark, item_col, text_col):
         items = Items(block)
         if len(items.runs):
-            yield Search(items, _documents_with(docs, items, text_col), least)
-
-
-def _documents_with(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
-    """The number of documents that have each run, over all documents."""
-    size = len(items.runs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique(items.hits(items.of(text))[1])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["run", "n"])
-
-    got = docs.select(text_col).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got["run"].to_numpy()] = got["n"].to_numpy()
-    return out
+            yield Search(items, least)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -195,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col
     item_type = benchmark.select(item_col).schema[0].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, score double, start long, end long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for search in _searches(docs, benchmark, least, item_col, text_col):
+    for search in _searches(benchmark, least, item_col, text_col):
 
         def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, tex
     """The rows of documents that hold no benchmark item, unchanged."""
     kept = docs
     place = docs.columns.index(text_col)
-    for search in list(_searches(docs, benchmark, least, item_col, text_col)):
+    for search in list(_searches(benchmark, least, item_col, text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -85,3 +85,32 @@ def test_empty(spark, data):
     assert D.find_leaks(frame.limit(0), bench).count() == 0
     assert D.find_leaks(frame, bench.limit(0)).count() == 0
     assert D.decontaminate(frame, bench.limit(0)).count() == 5
+
+
+def test_edited_copies_against_full_alignment(spark):
+    rng = random.Random(20)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(900)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(40)]) for k in range(12)]
+    prose = lambda: [rng.choice(vocabulary) for _ in range(60)]
+    docs = []
+    for k, item in items:
+        exact = rng.randrange(4)  # beside the edited copies, so that broken runs are rarer than some that are left
+        docs += [(1000 * k + n, prose() + item + prose()) for n in range(exact)]
+        for n, every in enumerate((4, 5)):
+            copy = ["edit" if at % every == every - 1 else w for at, w in enumerate(item)]
+            docs.append((1000 * k + 10 + n, prose() + copy + prose()))
+        for n, share in enumerate((0.2, 0.25)):
+            gone = set(rng.sample(range(40), round(40 * share)))
+            docs.append((1000 * k + 20 + n, prose() + ["edit" if at in gone else w for at, w in enumerate(item)] + prose()))
+        docs.append((1000 * k + 30, prose() + item[:20] + ["more"] * 30 + item[20:] + prose()))
+    want = {}
+    for i, words in docs:
+        for k, item in items:
+            score = brute_score(item, words) / 80
+            if score >= 0.5:
+                want[i, k] = score
+    assert len(want) >= 5 * 12
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in D.find_leaks(frame, bench).collect()} == pytest.approx(want)
+    assert D.decontaminate(frame, bench).count() == len(docs) - len({i for i, _ in want})

@@ -104,7 +104,7 @@ WITH words AS (SELECT doc_id, <WORD> AS word, CAST(<IDX> AS INT) AS idx FROM {do
 SELECT doc_id, CAST(idx <DIV> 200 + 1 AS INT) AS page_number, CAST(idx <DIV> 20 % 10 AS INT) AS block_no, CAST(idx <DIV> 5 % 4 AS INT) AS line_no, CAST(idx % 5 AS INT) AS span_no,
   CASE WHEN doc_id % 9 = 0 AND idx <DIV> 20 % 10 = 3 THEN 1 ELSE 0 END AS block_type, CASE WHEN idx % 5 = 4 OR idx <DIV> 20 % 10 = 7 THEN '  ' ELSE word END AS text,
   CAST(CASE WHEN idx % 11 = 0 THEN NULL ELSE 10 + idx % 4 END AS DOUBLE) AS size, CASE WHEN idx % 7 = 0 THEN 16 ELSE 4 END AS flags
-FROM words WHERE doc_id < 400
+FROM words
 """
 
 OCR_WORDS = """

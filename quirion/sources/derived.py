@@ -13,10 +13,11 @@ SPARK = {
     "STRING": "STRING", "DIV": "div", "LINES": "LATERAL VIEW posexplode(split(text, '\n', -1)) AS idx, line",
     "WORDS": "LATERAL VIEW posexplode(split(text, ' ', -1)) AS idx, word", "NTH": "element_at", "LIST": "array", "BINARY": "encode(text, 'UTF-8')",
     "RECTS": "array(named_struct('w', CAST(100 * (page_number % 4) AS DOUBLE), 'h', CAST(200 AS DOUBLE)))", "IDX": "idx", "LINE": "line", "WORD": "word",
+    "JOINED": "array_join(transform(sort_array(collect_list(struct(pos, line))), x -> x.line), '\n')",
     "BOX": "named_struct('x0', CAST(0 AS DOUBLE), 'y0', CAST(doc_id % 800 AS DOUBLE), 'x1', CAST(10 AS DOUBLE), 'y1', CAST(doc_id % 800 + 40 AS DOUBLE))",
 }
 DUCKDB = {
-    "STRING": "VARCHAR", "DIV": "//", "LINES": "", "WORDS": "", "NTH": "list_extract", "LIST": "list_value", "BINARY": "encode(text)",
+    "STRING": "VARCHAR", "DIV": "//", "LINES": "", "WORDS": "", "NTH": "list_extract", "LIST": "list_value", "BINARY": "encode(text)", "JOINED": "string_agg(line, chr(10) ORDER BY pos)",
     "RECTS": "[{'w': CAST(100 * (page_number % 4) AS DOUBLE), 'h': CAST(200 AS DOUBLE)}]",
     "IDX": "generate_subscripts(string_split(text, chr(10)), 1) - 1", "LINE": "unnest(string_split(text, chr(10)))",
     "WORD": "unnest(string_split(text, ' '))", "BOX": "{'x0': CAST(0 AS DOUBLE), 'y0': CAST(doc_id % 800 AS DOUBLE), 'x1': CAST(10 AS DOUBLE), 'y1': CAST(doc_id % 800 + 40 AS DOUBLE)}",
@@ -94,7 +95,7 @@ SELECT doc_id, page_number, 'own text' AS text, n_pages FROM lines LATERAL VIEW
 BLOCK_PAGES = f"WITH {_LINES} SELECT DISTINCT doc_id, page_number, CAST('own text' AS <STRING>) AS text, n_pages FROM placed"
 
 PAGE_STATS = f"""
-WITH {_LINES}, numbered AS (SELECT doc_id, page_number, max(line) AS line FROM placed GROUP BY doc_id, page_number)
+WITH {_LINES}, numbered AS (SELECT doc_id, page_number, <JOINED> AS line FROM placed GROUP BY doc_id, page_number)
 SELECT doc_id, page_number, CASE WHEN doc_id % 4 = 1 OR ((doc_id + page_number) % 3 = 0 AND doc_id % 4 <> 0) THEN '' ELSE concat(' ', line, chr(10)) END AS text,
   CAST(595 AS DOUBLE) AS page_w, CAST(842 AS DOUBLE) AS page_h, <RECTS> AS image_rects FROM numbered
 """

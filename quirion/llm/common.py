@@ -112,14 +112,18 @@ class Ranges:
         return F.coalesce(at.isin(self.bounds), F.lit(False)) if self.bounds else F.lit(False)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int, spread: list[str] | None = None) -> DataFrame:
     """Inner join with a table of one row a key, in which ``count`` is the number of left rows with the key.
 
-    Keys with over one ``most``-th of the counted rows, of which there can't be more than ``most``, are broadcast, so
-    that their rows stay where they are; all others are joined as usual. ``count`` is dropped.
+    Keys with over one ``most``-th of the counted rows, of which there can't be more than ``most``, are split into parts
+    by a hash of the ``spread`` columns of the left (all by default), and their rows of the right are repeated for each
+    part. The left is read once. ``count`` is dropped.
     """
     total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
-    is_hot = F.col(count) > max(1, total // most)
-    hot, rest = right.filter(is_hot).drop(count), right.filter(~is_hot).drop(count)
-    usual = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
-    return left.join(F.broadcast(hot), key).unionByName(usual)
+    share = max(1, total // most)
+    hot = right.filter(F.col(count) > share).select(key, F.ceil(F.col(count) / share).cast("int").alias("__parts"))
+    part = F.pmod(F.xxhash64(*(spread or left.columns)), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    parts = F.when(F.col(count) > share, F.ceil(F.col(count) / share).cast("int")).otherwise(1)
+    repeated = right.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(repeated, [key, "__part"]).drop("__part")

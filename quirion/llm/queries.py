@@ -54,10 +54,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirion.llm.line_dedup import repeated_units
+    from quirion.llm.line_dedup import repeated_passages
 
     common.small_batches(spark)
-    return repeated_units(common.table(spark, sf_dir, "documents"))
+    return repeated_passages(common.table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,13 +126,19 @@ def _shared(found: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``repeated_passages`` with ``doc``, the hash of the document's text."""
     all_units = unit_table(docs, least, id_col, text_col)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "doc", "start", "word", "before", "after")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "doc", "start")
     groups = all_units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    firsts = {f"first_{c}": F.col(f"first.{c}") for c in ("id", "doc", "start", "word", "before", "after")}
+    firsts = {f"first_{c}": F.col(f"first.{c}") for c in ("id", "doc", "start")}
     groups = common.cut(groups.select("digest", "n", *(c.alias(name) for name, c in firsts.items())))
-    found = common.join_hot(all_units, groups, "digest", "n", HOT, ["id", "doc", "start"]).drop("digest")
-    same_doc = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("doc") == F.col("first_doc"))
-    found = _shared(found.filter(~(same_doc & (F.col("start") == F.col("first_start")))))
+    spread = ["id", "doc", "start"]
+    found = common.join_hot(all_units, groups, "digest", "n", HOT, spread)
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+    # Fringes of first occurrences come from the few rows that are left, and not with all units.
+    found = common.cut(found.withColumn("is_first", is_first))
+    kept = found.filter("is_first").select("digest", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["digest"])
+    kept = kept.join(groups.select("digest", "n"), "digest")
+    found = common.join_hot(found.filter("NOT is_first"), kept, "digest", "n", HOT, spread)
+    found = _shared(found.drop("digest", "is_first", "first_doc"))
     # From here on everything is about one document at a time. Repeated rows give a unit once.
     found = found.repartition("id", "doc").dropDuplicates(["id", "doc", "start"])
     order = Window.partitionBy("id", "doc").orderBy("start")

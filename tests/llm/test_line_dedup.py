@@ -5,8 +5,6 @@ import pytest
 
 from quirion.llm import line_dedup as L
 
-LIMITS = {"least": 5, "passage": 46, "fringe": L.FRINGE}
-
 
 def cut(text):
     """(start, end, number of the first word, words) of the clauses of a text, by a loop over its characters."""
@@ -27,7 +25,7 @@ def cut(text):
     return found
 
 
-def spec(rows, least=5, passage=46, fringe=L.FRINGE):
+def spec(rows, least=L.LEAST, passage=L.PASSAGE, fringe=L.FRINGE):
     """Passages by id and text, with words compared one by one."""
     docs = {}
     for i, text in rows:

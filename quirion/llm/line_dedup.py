@@ -41,10 +41,10 @@ HOT = 2000
 _UNITS = re.compile(r"[^.,;:!?\n]*[.,;:!?]+|[^.,;:!?\n]+")
 
 
-def units(text: str, least: int, marks: dict[str, int]) -> Iterator[tuple[bytes, int, int, int, int, bytes, bytes]]:
+def units(text: str, least: int, marks: dict[str, int] | None) -> Iterator[tuple[bytes, int, int, int, int, bytes, bytes]]:
     """(digest, start, end, number of the first word, words, marks of the words before and after) of each unit.
 
-    ``marks`` remembers the marks of words.
+    ``marks`` remembers the marks of words; without it, units have no marks.
     """
     words: list[str] = []
     places = []
@@ -53,12 +53,10 @@ def units(text: str, least: int, marks: dict[str, int]) -> Iterator[tuple[bytes,
         if len(found) >= least:
             places.append((m.start(), m.end(), len(words), len(found)))
         words += found
-    if not places:
-        return
-    for w in set(words):
+    for w in set(words) if places and marks is not None else ():
         if w not in marks:
             marks[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0xFFFF
-    line = np.fromiter(map(marks.__getitem__, words), "<u2", len(words)).tobytes()
+    line = b"" if marks is None else np.fromiter(map(marks.__getitem__, words), "<u2", len(words)).tobytes() if places else b""
     for start, end, at, n in places:
         digest = xxhash.xxh128_digest(" ".join(words[at : at + n]).encode("utf-8", "surrogatepass"))
         yield digest, start, end, at, n, line[2 * max(0, at - FRINGE) : 2 * at], line[2 * (at + n) : 2 * (at + n + FRINGE)]
@@ -68,20 +66,20 @@ def _hash(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def unit_table(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+def unit_table(docs: DataFrame, least: int, id_col: str, text_col: str, fringes: bool = True) -> DataFrame:
     given = docs.select(F.col(id_col).alias("id"), _hash(text_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     kind = given.schema[0].dataType.simpleString()
     names = ["id", "doc", "digest", "start", "end", "word", "n_words", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: dict[str, int] = {}
+        marks: dict[str, int] | None = {} if fringes else None
         for batch in batches:
             at, rows = [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 found = list(units(text, least, marks))
                 rows += found
                 at += [k] * len(found)
-            if len(marks) > 1_000_000:
+            if marks and len(marks) > 1_000_000:
                 marks.clear()
             digest, *places, before, after = zip(*rows, strict=True) if rows else [[]] * 7
             own = pa.array(at, pa.int64())
@@ -127,7 +125,7 @@ def repeats(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE, id_col:
     """``repeated_passages`` with ``doc``, the hash of the document's text."""
     all_units = unit_table(docs, least, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "doc", "start")
-    groups = all_units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    groups = unit_table(docs, least, id_col, text_col, fringes=False).groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     firsts = {f"first_{c}": F.col(f"first.{c}") for c in ("id", "doc", "start")}
     groups = common.cut(groups.select("digest", "n", *(c.alias(name) for name, c in firsts.items())))
     spread = ["id", "doc", "start"]

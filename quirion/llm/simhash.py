@@ -7,6 +7,10 @@ out. Each fingerprint gets its own thresholds: a dynamic programme takes those w
 from histograms of half partitions. It then probes the buckets of the values within its thresholds, and pairs found are
 verified. Connected pairs make the groups.
 
+There are so many partitions that an average bucket has at most ``AVERAGE`` fingerprints: three of 21 or 22 bits up to
+8.4 million distinct fingerprints, and two of 32 bits beyond, of which the thresholds are mostly 1 and 0. So at any
+size the search brings most links, and only buckets that correlated bits fill have many more.
+
 Buckets with over ``BUCKET`` fingerprints are not paired. Those fingerprints that lie in such a bucket which is probed,
 or probe one, are linked exactly by another rule: two fingerprints differ in at most 2 bits if and only if some
 value differs in at most one bit from both. Each puts itself under its 65 values, and no value has more than 65, so the
@@ -33,11 +37,14 @@ from quirion.llm import common
 from quirion.llm.components import components
 
 BITS = 64
-PARTITIONS = 3
+#: Fingerprints that an average bucket may have.
+AVERAGE = 4
 #: Fingerprints that a bucket may have to be paired directly.
 BUCKET = 64
 #: A fingerprint with over this share of all rows counts as hot; so there are at most as many.
 HOT = 2000
+#: Tasks that sum counters, so that their rows don't grow with the input.
+SUMMERS = 512
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -75,7 +82,12 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
 # --- partitions and thresholds --------------------------------------------------------------------------------------
 
 
-def grouped_bits(together: np.ndarray, ones: np.ndarray, n: int) -> list[list[int]]:
+def partitions_for(n: int) -> int:
+    """Partitions for ``n`` distinct fingerprints: three, or two if the buckets of three would be crowded on average."""
+    return 3 if n <= AVERAGE << (BITS // 3) else 2
+
+
+def grouped_bits(together: np.ndarray, ones: np.ndarray, n: int, partitions: int) -> list[list[int]]:
     """Bits in partitions of about equal width, each grown by the bit most correlated with those it has."""
     share = ones / max(n, 1)
     spread = np.sqrt(share * (1 - share))
@@ -84,8 +96,8 @@ def grouped_bits(together: np.ndarray, ones: np.ndarray, n: int) -> list[list[in
     linked = np.nan_to_num(linked, posinf=0, neginf=0)
     np.fill_diagonal(linked, 0)
     free, groups = set(range(BITS)), []
-    for k in range(PARTITIONS):
-        width = (BITS - sum(map(len, groups))) // (PARTITIONS - k)
+    for k in range(partitions):
+        width = (BITS - sum(map(len, groups))) // (partitions - k)
         left = sorted(free)
         group = [max(left, key=lambda b: (linked[b, left].sum(), -b))]
         free.discard(group[0])
@@ -172,14 +184,14 @@ def _summed(df: DataFrame, count, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    got = df.select("fp").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = df.select("fp").coalesce(SUMMERS).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def planned(fps: DataFrame, threshold: int) -> Plan:
-    """The plan for a table of distinct fingerprints. The driver gets some thousand counters."""
+def planned(fps: DataFrame, threshold: int, partitions: int | None = None) -> Plan:
+    """The plan for a table of distinct fingerprints. The driver gets some thousand counters, or 262 144 with two partitions."""
 
     def pairs(x: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -187,7 +199,7 @@ def planned(fps: DataFrame, threshold: int) -> Plan:
 
     got = _summed(fps, pairs, 1 + BITS * BITS)
     n, together = int(got[0]), got[1:].reshape(BITS, BITS)
-    groups = grouped_bits(together, np.diag(together), n)
+    groups = grouped_bits(together, np.diag(together), n, partitions or partitions_for(n))
     halves = [h for g in groups for h in (g[: len(g) // 2], g[len(g) // 2 :])]
     ends = np.cumsum([0, *(1 << len(h) for h in halves)])
 
@@ -223,11 +235,14 @@ def _keyed(fps: DataFrame, plan: Plan, probing: bool) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """Edges ``a``, ``b`` whose components are those of all pairs of distinct fingerprints within ``threshold`` bits."""
+def links(fps: DataFrame, threshold: int = 2, partitions: int | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` whose components are those of all pairs of distinct fingerprints within ``threshold`` bits.
+
+    ``partitions`` is what ``partitions_for`` gives, or another number.
+    """
     if not 0 <= threshold <= 2:
         raise ValueError("crowded buckets are resolved for thresholds of 0 to 2 only")
-    plan = planned(fps, threshold)
+    plan = planned(fps, threshold, partitions)
     own, probes = _keyed(fps, plan, probing=False), _keyed(fps, plan, probing=True)
     crowded = common.cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key"))
     sparse = own.join(crowded, "key", "left_anti").withColumnRenamed("fp", "b")

@@ -81,7 +81,28 @@ def test_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("partitions", [2, 3])
+def test_probing_alone_finds_every_link(spark, rows, monkeypatch, partitions):
+    """With the plan for many or few fingerprints and no bucket counted as crowded, the search itself brings all links."""
+    monkeypatch.setattr(simhash, "BUCKET", 1 << 30)
+    fps = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in {spec_fingerprint(t, 3) for _, t in rows}], "fp long")
+    plan = simhash.planned(fps, 2, partitions)
+    assert sorted(map(len, plan.groups)) == ([32, 32] if partitions == 2 else [21, 21, 22])
+    found = {(r.a, r.b) for r in simhash.links(fps, 2, partitions).collect()}
+    all_fps = [r.fp for r in fps.collect()]
+    want = {(min(a, b), max(a, b)) for k, a in enumerate(all_fps) for b in all_fps[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert found == want and len(want) > 50
+
+
+def test_partitions_follow_the_number_of_fingerprints():
+    assert [simhash.partitions_for(n) for n in (0, 10**6, 8 << 20, (8 << 20) + 1, 10**10)] == [3, 3, 3, 2, 2]
+
+
+@pytest.mark.parametrize("few", [0, 100, 20_000])
+def test_components(spark, monkeypatch, few):
+    import sys
+
+    monkeypatch.setattr(sys.modules["quirion.llm.components"], "FEW", few)
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

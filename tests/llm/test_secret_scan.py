@@ -68,10 +68,74 @@ def test_confirmation():
 def test_what_only_looks_alike_is_left():
     cut = b64(RSA)[:-8]
     fake = url(b'{"typ":"JWT"}') + "." + url(b"{}") + ".x"
-    for text in (cut, b64(RSA[:-1] + b"\0\0"), fake, "eyJhbGciOiJIUzI1NiJ9.notjson.sig", "M" + "A" * 80, b64(der(0x30, RNG.randbytes(90))), b64(SSH[:-1])):
+    for text in (cut, b64(RSA[:2] + bytes([RSA[2] ^ 1]) + RSA[3:]), fake, "eyJhbGciOiJIUzI1NiJ9.notjson.sig", "M" + "A" * 80, b64(der(0x30, RNG.randbytes(90))), b64(SSH[:-1])):
         assert S.confirmed_spans(text) == [], text
 
 
+def wrapped(text, size=64, between="\n"):
+    return between.join(text[k : k + size] for k in range(0, len(text), size))
+
+
+def brute_keys(text):
+    """Keys by trying every start in the text: of each alphabet's characters from there on, line breaks left out."""
+    found = set()
+    for kind, code, least in (("64", r"[A-Za-z0-9+/_-]", 4), ("16", r"[0-9a-fA-F]", 2)):
+        for at in range(len(text)):
+            chars, places, k = [], [], at
+            while k < len(text):
+                if re.match(code, text[k]):
+                    chars.append(text[k])
+                    places.append(k)
+                    k += 1
+                elif chars and (m := re.match(r"""["']?[ \t]*[+,\\]?[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*["']?""", text[k:])) and k + m.end() < len(text) and re.match(code, text[k + m.end()]):
+                    k += m.end()
+                else:
+                    break
+            if len(chars) < 24:
+                continue
+            run = "".join(chars)
+            if kind == "64":
+                data = S.decoded64(run[: len(run) - (len(run) % 4 == 1)])
+            else:
+                data = bytes.fromhex(run[: len(run) // 2 * 2])
+            for name, end in (("der", S.der_key(data)), ("ssh", S.ssh_key(data))):
+                if end:
+                    size = -(-end * 4 // 3) if kind == "64" else 2 * end
+                    stop = places[size - 1] + 1
+                    pad = -end % 3 if kind == "64" else 0
+                    found.add((at, name, stop + pad * (text[stop : stop + pad] == "=" * pad)))
+    return {k for k in found if not any(o != k and o[0] <= k[0] and k[2] <= o[2] for o in found)}
+
+
+def test_keys_at_any_start():
+    cases = [
+        f"MAIN_KEY/{b64(RSA)}", f"{b64(EC)}ABCD", f"deadbeef{RSA.hex()}", f"a1{PKCS8.hex()}30", f"a{RSA.hex()}f", f"MA{b64(PKCS8)}MA", f"3030{EC.hex().upper()}",
+        wrapped(b64(RSA)), wrapped(b64(PKCS8), 40, "\r\n  "), wrapped(b64(SSH), 30, '",\n  "'), wrapped(b64(EC), 20, "\\n"), wrapped(RSA.hex(), 60), f"x/{b64(SSH)}ABC", b64(RSA[:-1] + b"\0\0"),
+    ]
+    for case in cases:
+        text = f"one {case} two"
+        got = set(S.confirmed_spans(text))
+        assert got == brute_keys(text) and len(got) == 1, case
+
+
+def test_signed_tokens_at_any_start():
+    spaced = ".".join([url(b'{ "alg": "none",\n "typ": "JWT"}'), url(b'{ "sub": "1"}'), ""])
+    for before, token in (("", spaced), ("token-", JWT), ("kid_", spaced), ("long-name.", JWT), ("a=", spaced)):
+        text = f"see {before}{token} end"
+        assert S.confirmed_spans(text) == [(4 + len(before), "jwt", 4 + len(before) + len(token))], before
+
+
+def test_pem_with_headers():
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,CLEAR\nDEK-Info: none\n\n{wrapped(b64(RSA))}\n-----END RSA PRIVATE KEY-----"
+    assert S.confirmed_spans(f"x {pem} y") == [(2, "der", 2 + len(pem))]
+
+
+def test_long_runs_take_little_time():
+    rng = random.Random(9)
+    blob = b64(rng.randbytes(300_000))
+    assert S.confirmed_spans(f"{blob} {blob[:9]}{b64(RSA)} {'eyJ' * 20_000}.x.y {'30' * 30_000} {'MII' * 30_000}") == [(len(blob) + 10, "der", len(blob) + 10 + len(b64(RSA)))]
+
+
 def test_operator(spark):
     texts = ["token = '24be64439e3e49cf46b2d7c90f3602a3d0b907ff' x", None, "", f"a {JWT}", "AKIA" + "Q" * 20, "x" * 200_000 + "0123456789abcdef"]
     rows = [(k, t, "z") for k, t in enumerate(texts)] + [(0, texts[0], "z"), (None, "nothing", "z")]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quirion.functions.arrays import let
-from quirion.workers import findable
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirion-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -54,12 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, as Spark bounds its bytes; a smaller setting stays. Workers find the package."""
-    findable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    spark.conf.set(key, str(min(now, 1000) if now > 0 else 1000))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of at most ``rows``, which bounds what is made of a batch at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], salt: str, out: str) -> DataFrame:
@@ -78,7 +82,12 @@ def ranked(df: DataFrame, group: list[str], order: list[str], salt: str, out: st
 
 
 def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ids of the table that cut it into parts of about equal row counts, ascending."""
+    """At most ``parts - 1`` ids of the table that cut it into parts of about equal row counts, ascending.
+
+    Ids are whole numbers; others raise an error.
+    """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ranges of ids need whole numbers")
     shares = [k / parts for k in range(1, parts)]
     if not shares:
         return []

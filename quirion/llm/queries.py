@@ -19,28 +19,24 @@ def byte_bpe() -> str:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.decontamination import find_leaks
 
-    common.small_batches(spark)
     return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.token_counts import count_tokens
 
-    common.small_batches(spark)
     return count_tokens(common.table(spark, sf_dir, "documents"), byte_bpe)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.simhash import near_duplicates
 
-    common.small_batches(spark)
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=2)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.language_id import learn, predict
 
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
     return predict(docs, learn(docs))
 
@@ -48,22 +44,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.token_store import read_store, write_store
 
-    common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
-    return read_store(write_store(docs, byte_bpe, end=0), docs)
+    store = write_store(docs, byte_bpe, end=0)
+    found = common.cut(read_store(store, docs))
+    store.remove()
+    return found
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.line_dedup import repeated_passages
 
-    common.small_batches(spark)
     return repeated_passages(common.table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirion.llm.secret_scan import scan_secrets
 
-    common.small_batches(spark)
     return scan_secrets(common.table(spark, sf_dir, "documents"))
 
 

@@ -1,14 +1,14 @@
 """Token ids in binary shards, with a minimal perfect hash index for access by key.
 
-Documents are dealt into shards by ranges of ids and encoded in the order of ids. A shard is two files: ``.ids`` holds
+Documents are dealt into shards by ranges of ids with about equal bytes of text, a task each, and encoded in the order of ids. A shard is two files: ``.ids`` holds
 the ids of its documents one after another, little-endian, in two bytes each if the vocabulary allows and else four;
 ``.idx`` is the index. The index maps a key (a document's id, and its number among the rows of that id) to a slot by a
 minimal perfect hash: in each level keys are hashed into a bit array of twice their number, those that are alone in
 their bit are done, and the rest go on to the next level; a key's slot is the rank of its bit. A slot stores a
 fingerprint of its key, by which keys that the shard doesn't hold are told, and the place of its ids. A lookup takes a
-few probes, whatever the size of the shard.
+few probes, whatever the size of the shard. Should two keys of a shard have the same hash, all are hashed anew with another seed.
 
-    .idx: 8 bytes mark, then as <q: width, keys, levels; for each level its bits; the bit arrays; a running count of set
+    .idx: 8 bytes mark, then as <q: width, seed, keys, levels; for each level its bits; the bit arrays; a running count of set
     bits for each 64-bit word; the fingerprints (<u4), starts and lengths (<u8) by slot
 
 Files go to the folder that driver and executors share, under a temporary name first, so a task that runs twice leaves
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from quirion.llm import common
 from quirion.llm.token_counts import MergeCounter, byte_alphabet
 
-MARK = b"QUIRTOK1"
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 16 << 20
-LEVELS = 40
+MARK = b"QUIRTOK2"
+#: Bytes of text in a shard, about, and shards at most; beyond, shards grow.
+SHARD_BYTES, SHARDS = 16 << 20, 1 << 14
+LEVELS, SEEDS = 40, 100
 #: Pieces whose ids a worker remembers, at some 200 bytes each; forgotten together when full.
 REMEMBERED = 1_200_000
 
@@ -55,15 +55,16 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def key_hashes(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def key_hashes(ids: np.ndarray, numbers: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each key; those of number 0 are distinct for distinct ids."""
-    return mixed(ids.astype(np.int64).view(np.uint64), 1) ^ np.where(numbers == 0, np.uint64(0), mixed(numbers.astype(np.uint64), 2))
+    return mixed(ids.astype(np.int64).view(np.uint64), 1) ^ np.where(numbers == 0, np.uint64(0), mixed(numbers.astype(np.uint64), 200 + seed))
 
 
 class Index:
     """The minimal perfect hash of a shard, and what its slots store."""
 
-    def __init__(self, bits: list[np.ndarray], fingerprints: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    def __init__(self, bits: list[np.ndarray], fingerprints: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0):
+        self.seed = seed
         self.sizes = [64 * len(b) for b in bits]
         self.words = np.concatenate(bits) if bits else np.empty(0, np.uint64)
         self.offsets = np.cumsum([0, *(len(b) for b in bits)])
@@ -72,7 +73,16 @@ class Index:
         self.fingerprints, self.starts, self.lengths = fingerprints, starts, lengths
 
     @staticmethod
-    def build(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Index:
+    def of_keys(ids: np.ndarray, numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Index:
+        """The index of distinct keys, with the first seed that gives them distinct hashes."""
+        for seed in range(SEEDS):
+            hashes = key_hashes(ids, numbers, seed)
+            if len(np.unique(hashes)) == len(hashes):
+                return Index.build(hashes, starts, lengths, seed)
+        raise ValueError("the keys of a shard aren't distinct")
+
+    @staticmethod
+    def build(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> Index:
         bits, left = [], hashes
         for level in range(LEVELS):
             if not len(left):
@@ -84,7 +94,7 @@ class Index:
             left = left[~alone[at.astype(np.int64)]]
         if len(left):
             raise ValueError("two keys of a shard have the same hash")
-        index = Index(bits, *(np.zeros(len(hashes), t) for t in (np.uint32, np.int64, np.int64)))
+        index = Index(bits, *(np.zeros(len(hashes), t) for t in (np.uint32, np.int64, np.int64)), seed)
         slots = index.slots(hashes)
         index.fingerprints[slots] = mixed(hashes, 3).astype(np.uint32)
         index.starts[slots], index.lengths[slots] = starts, lengths
@@ -113,7 +123,7 @@ class Index:
         return np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
 
     def to_bytes(self, width: int) -> bytes:
-        head = struct.pack(f"<{3 + len(self.sizes)}q", width, len(self.fingerprints), len(self.sizes), *self.sizes)
+        head = struct.pack(f"<{4 + len(self.sizes)}q", width, self.seed, len(self.fingerprints), len(self.sizes), *self.sizes)
         parts = ((self.words, "<u8"), (self.ranks, "<u8"), (self.fingerprints, "<u4"), (self.starts, "<u8"), (self.lengths, "<u8"))
         return b"".join([MARK, head, *(p.astype(t).tobytes() for p, t in parts)])
 
@@ -121,9 +131,9 @@ class Index:
     def from_bytes(data: bytes) -> tuple[Index, int]:
         if data[:8] != MARK:
             raise ValueError("not an index of token ids")
-        width, keys, levels = struct.unpack_from("<3q", data, 8)
-        sizes = struct.unpack_from(f"<{levels}q", data, 32)
-        at = 32 + 8 * levels
+        width, seed, keys, levels = struct.unpack_from("<4q", data, 8)
+        sizes = struct.unpack_from(f"<{levels}q", data, 40)
+        at = 40 + 8 * levels
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -133,7 +143,7 @@ class Index:
 
         bits = [take(s // 64, "<u8").astype(np.uint64) for s in sizes]
         take(sum(sizes) // 64, "<u8")
-        return Index(bits, take(keys, "<u4"), take(keys, "<u8").astype(np.int64), take(keys, "<u8").astype(np.int64)), width
+        return Index(bits, take(keys, "<u4"), take(keys, "<u8").astype(np.int64), take(keys, "<u8").astype(np.int64), seed), width
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -211,18 +221,39 @@ class Store:
         """The shard of an id: that of the first cut that it doesn't exceed. Null ids are in the first."""
         return common.Ranges(self.cuts).of(F.col(id_col))
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with an ``id``, a shard to a task, in the order of ids."""
+        return rows.withColumn("shard", self.shard_of("id")).repartitionById(len(self.cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("id"), "text")
+
+    def remove(self) -> None:
+        common.remove(self.spark, self.folder)
+
+
+def _cuts(docs: DataFrame, id_col: str, text_col: str, least_shards: int) -> list[int]:
+    """Ids that cut the documents into shards of about ``SHARD_BYTES``, made of ranges of about equal row counts."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    shards = min(SHARDS, max(1, least_shards, -(-size // SHARD_BYTES)))
+    bounds = common.id_bounds(docs, id_col, min(SHARDS, 4 * shards))
+    sizes = docs.groupBy(common.Ranges(bounds).of(F.col(id_col)).alias("r")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).alias("n"))
+    held = {r["r"]: r["n"] for r in sizes.collect()}  # a row a range
+    share, cuts, filled = sum(held.values()) / shards, [], 0
+    for k, bound in enumerate(bounds):
+        filled += held.get(k, 0)
+        if filled and filled + held.get(k + 1, 0) / 2 > share:
+            cuts.append(bound)
+            filled = 0
+    return cuts
+
 
 def write_store(docs: DataFrame, vocabulary: Callable[[], str], end: int | None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Store:
     """Encodes the documents into shards. ``end`` is an id that follows each document, if given."""
     spark = docs.sparkSession
     folder = folder or common.new_path(spark, "tokens")
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    shards = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    store = Store(spark, folder, common.id_bounds(docs, id_col, shards), [])
+    store = Store(spark, folder, _cuts(docs, id_col, text_col, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), [])
     where, path = _opened(folder)
     where.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", store.shard_of("id")).repartition(len(store.cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "text")
+    rows = store.dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary())
@@ -246,8 +277,8 @@ def write_store(docs: DataFrame, vocabulary: Callable[[], str], end: int | None,
             _write(where, f"{name}.ids", payload())
             sizes = np.array(lengths, np.int64)
             starts = np.cumsum(sizes) - sizes
-            keys = key_hashes(*numbered(np.concatenate(ids), np.concatenate(nulls)))
-            _write(where, f"{name}.idx", iter([Index.build(keys, starts, sizes).to_bytes(encoder.kind.itemsize)]))
+            index = Index.of_keys(*numbered(np.concatenate(ids), np.concatenate(nulls)), starts, sizes)
+            _write(where, f"{name}.idx", iter([index.to_bytes(encoder.kind.itemsize)]))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(sizes.sum())], pa.int64())], names=["shard", "n"])
 
     made = rows.mapInArrow(run, "shard int, n long").collect()  # a row a shard
@@ -305,20 +336,17 @@ def read_store(store: Store, keys: DataFrame, id_col: str = "doc_id") -> DataFra
     """
     folder, starts = store.folder, store.starts
     kind = keys.select(id_col).schema[0].dataType.simpleString()
-    rows = keys.select(F.col(id_col).cast("long").alias("id")).withColumn("shard", store.shard_of("id"))
+    rows = store.dealt(keys.select(F.col(id_col).cast("long").alias("id"), F.lit("").alias("text")))
 
-    def look_up(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
+    def look_up(shard: int, column: pa.Array) -> pa.RecordBatch:
         where, path = _opened(folder)
         if where.get_file_info(f"{path}/{shard:06d}.idx").type == fs.FileType.NotFound:
-            raise KeyError(f"shard {shard} doesn't hold {part.num_rows} of the keys")
+            raise KeyError(f"shard {shard} doesn't hold {len(column)} of the keys")
         with where.open_input_file(f"{path}/{shard:06d}.idx") as f:
             index, width = Index.from_bytes(f.read())
-        part = part.sort_by("id")
-        column = part.column("id").combine_chunks()
         nulls = column.is_null().to_numpy(zero_copy_only=False)
         ids = column.fill_null(0).to_numpy(zero_copy_only=False)
-        at, sizes = index.find(key_hashes(*numbered(ids, nulls)))
+        at, sizes = index.find(key_hashes(*numbered(ids, nulls), index.seed))
         if (sizes < 0).any():
             raise KeyError(f"shard {shard} doesn't hold {(sizes < 0).sum()} of the keys")
         sums = np.empty(len(ids), np.int64)
@@ -326,7 +354,11 @@ def read_store(store: Store, keys: DataFrame, id_col: str = "doc_id") -> DataFra
             for k in np.argsort(at, kind="stable"):
                 data = f.read_at(int(sizes[k]) * width, int(at[k]) * width)
                 sums[k] = zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
-        return pa.table({"id": column, "start": pa.array(at + starts[shard]), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(sums)})
+        return pa.RecordBatch.from_arrays([column, pa.array(at + starts[shard]), pa.array(sizes), pa.array(sums)], names=["id", "start", "n_tokens", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in _by_shard(batches):
+            yield look_up(shard, pa.concat_arrays([part.column(0) for part in parts]))
 
-    found = rows.groupBy("shard").applyInArrow(look_up, "id long, start long, n_tokens long, ids_crc32 long")
+    found = rows.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
     return found.select(F.col("id").cast(kind).alias(id_col), "start", "n_tokens", "ids_crc32")

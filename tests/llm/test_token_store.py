@@ -62,3 +62,44 @@ def test_empty_and_unknown(spark):
     assert [r.n_tokens for r in S.read_store(store, docs).collect()] == [2]
     with pytest.raises(Exception, match="doesn't hold"):
         S.read_store(store, spark.createDataFrame([(99,)], "doc_id long")).collect()
+
+
+def test_keys_of_one_hash_take_another_seed(monkeypatch):
+    real = S.key_hashes
+    monkeypatch.setattr(S, "key_hashes", lambda ids, numbers, seed=0: real(ids, numbers, seed) // (np.uint64(1 << 62) if seed < 2 else np.uint64(1)))
+    ids, numbers = S.numbered(np.array([4, 4, 4, 5, 5, 7]), np.zeros(6, bool))
+    built = S.Index.of_keys(ids, numbers, np.arange(6), np.arange(6))
+    index, _ = S.Index.from_bytes(built.to_bytes(4))
+    assert index.seed == 2 and index.find(S.key_hashes(ids, numbers, index.seed))[0].tolist() == list(range(6))
+    with pytest.raises(ValueError, match="distinct"):
+        S.Index.of_keys(np.array([1, 1]), np.array([0, 0]), np.zeros(2), np.zeros(2))
+
+
+def test_shards_hold_equal_bytes_and_a_task_each(spark):
+    rows = [(k, "x" * (10 if k < 3000 else 1000)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = S.Store(spark, "unused", S._cuts(docs, "doc_id", "text", 16), [])
+    held = {}
+    for i, text in rows:
+        shard = sum(c < i for c in store.cuts)
+        held[shard] = held.get(shard, 0) + len(text)
+    assert 12 <= len(held) <= 20 and max(held.values()) < 2 * sum(held.values()) / len(held)
+    placed = store.dealt(docs.withColumnRenamed("doc_id", "id")).selectExpr("shard", "spark_partition_id() AS task").distinct().collect()
+    assert sorted(r.shard for r in placed) == sorted(r.task for r in placed) == sorted(held)
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        S.write_store(docs, byte_bpe, end=0)
+
+
+def test_query_leaves_no_files(spark):
+    from pathlib import Path
+
+    from quirion.llm import common, queries
+
+    top = Path(common.shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(top.glob("quirion-tokens-*"))
+    queries.op7_token_store(spark, "/root/testdata/sf0.001").count()
+    assert set(top.glob("quirion-tokens-*")) == before

@@ -9,8 +9,9 @@ words in a row are left isn't found, whatever its score. Windows with too few of
 The benchmark is taken in blocks of at most ``BLOCK`` words, each small enough to send to the executors, and all
 documents are searched for each block. Documents stay where they are: there is no shuffle of texts.
 
-Defined results: a null text or item has no words and matches nothing; items of fewer than ``SEED`` words match nothing,
-those of fewer than ``SHORT`` words only in full; repeated documents and items are reported each; empty tables give an
+Items of fewer than ``SEED`` words are their own seeds, and items of fewer than ``SHORT`` words match in full only.
+
+Defined results: a null text or item has no words and matches nothing; repeated documents and items are reported each; empty tables give an
 empty result; other columns are ignored or, when filtering, kept.
 """
 
@@ -23,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,15 @@ _WORDS = re.compile(r"\w+")
 MATCH, OTHER = 2, -1
 
 
+def folded(text: str | None) -> str:
+    """The text in lower case, each character at the place that it had."""
+    text = text or ""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    return _WORDS.findall(folded(text))
 
 
 class Items:
@@ -49,20 +58,25 @@ class Items:
         self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64) for text in items.column(1).to_pylist()]
         self.ids = vocabulary
         self.base = max(1, len(vocabulary))
-        places = defaultdict(list)
-        for k, w in enumerate(self.words):
-            for at, code in enumerate(self._codes(w)):
-                places[int(code)].append((k, at))
-        self.runs = np.array(sorted(places), np.int64)
-        self.places = [places[int(c)] for c in self.runs]
-
-    def _codes(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each run of ``SEED`` ids; -1 where a word isn't in the benchmark."""
-        n = len(ids) - SEED + 1
+        # For each length of seeds: the runs, where each one's places start, and the places: items and positions.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({min(len(w), SEED) for w in self.words if len(w)}):
+            own = [k for k, w in enumerate(self.words) if min(len(w), SEED) == length]
+            codes = [self._codes(self.words[k], length) for k in own]
+            flat = np.concatenate(codes)
+            order = np.argsort(flat, kind="stable")
+            item = np.repeat(np.array(own), [len(c) for c in codes])[order]
+            at = np.concatenate([np.arange(len(c)) for c in codes])[order]
+            runs, starts = np.unique(flat[order], return_index=True)
+            self.seeds[length] = runs, np.r_[starts, len(flat)], item, at
+
+    def _codes(self, ids: np.ndarray, length: int) -> np.ndarray:
+        """A number for each run of ``length`` ids; -1 where a word isn't in the benchmark."""
+        n = len(ids) - length + 1
         if n <= 0:
             return np.empty(0, np.int64)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(SEED):
+        for k in range(length):
             part = ids[k : k + n]
             code = code * self.base + part
             known &= part >= 0
@@ -72,16 +86,18 @@ class Items:
         words = words_of(text)
         return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in a document at which a run of the items starts, and the numbers of these runs."""
-        code = self._codes(ids)
-        at = np.flatnonzero(code >= 0)
-        if not len(at) or not len(self.runs):
-            return at[:0], at[:0]
-        found = np.searchsorted(self.runs, code[at])
-        found = np.minimum(found, len(self.runs) - 1)
-        real = self.runs[found] == code[at]
-        return at[real], found[real]
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Items, and where they would start in a document, by each seed that the document has."""
+        for length, (runs, starts, item, place) in self.seeds.items():
+            code = self._codes(ids, length)
+            at = np.flatnonzero(code >= 0)
+            if not len(at):
+                continue
+            found = np.minimum(np.searchsorted(runs, code[at]), len(runs) - 1)
+            real = runs[found] == code[at]
+            for p, r in zip(at[real].tolist(), found[real].tolist(), strict=True):
+                a, b = starts[r], starts[r + 1]
+                yield from zip(item[a:b].tolist(), (p - place[a:b]).tolist(), strict=True)
 
 
 def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -111,11 +127,9 @@ class Search:
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, after the last word) of the best alignment of each item that reaches the score."""
         ids = self.items.of(text)
-        at, runs = self.items.hits(ids)
         shifts: dict[int, list[int]] = defaultdict(list)
-        for p, r in zip(at.tolist(), runs.tolist(), strict=True):
-            for k, q in self.items.places[r]:
-                shifts[k].append(p - q)
+        for k, start in self.items.hits(ids):
+            shifts[k].append(start)
         found = []
         for k, starts in shifts.items():
             item = self.items.words[k]
@@ -151,11 +165,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[pa.T
         yield block.select(item_col, text_col).toArrow()
 
 
-def _searches(benchmark: DataFrame, least: float, item_col: str, text_col: str) -> Iterator[Search]:
+def _searches(benchmark: DataFrame, least: float, item_col: str, text_col: str) -> Iterator[Broadcast]:
     for block in _blocks(benchmark, item_col, text_col):
         items = Items(block)
-        if len(items.runs):
-            yield Search(items, least)
+        if items.seeds:
+            # The driver keeps no block: it is written out, and each worker reads it once.
+            yield benchmark.sparkSession.sparkContext.broadcast(Search(items, least))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -169,19 +184,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col
     found = docs.sparkSession.createDataFrame([], schema)
     for search in _searches(benchmark, least, item_col, text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], search: Broadcast = search) -> Iterator[pa.RecordBatch]:
             for batch in common.pieces(batches):
                 rows: list[tuple] = []
                 at: list[int] = []
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    leaks = search.leaks(text)
+                    leaks = search.value.leaks(text)
                     if leaks:
-                        spans = [m.span() for m in _WORDS.finditer(text.lower())]
+                        spans = [m.span() for m in _WORDS.finditer(folded(text))]
                         rows += [(i, score, spans[a][0], spans[b - 1][1]) for i, score, a, b in leaks]
                         at += [k] * len(leaks)
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
-                names = search.items.names.take(pa.array(columns[0], pa.int64()))
+                names = search.value.items.names.take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, names, pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["id", "item", "score", "start", "end"])
 
         found = found.union(docs.select(id_col, text_col).mapInArrow(run, schema))
@@ -192,11 +207,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, tex
     """The rows of documents that hold no benchmark item, unchanged."""
     kept = docs
     place = docs.columns.index(text_col)
-    for search in list(_searches(benchmark, least, item_col, text_col)):
+    for search in _searches(benchmark, least, item_col, text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], search: Broadcast = search) -> Iterator[pa.RecordBatch]:
             for batch in common.pieces(batches):
-                yield batch.filter(pa.array([not search.leaks(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not search.value.leaks(t) for t in batch.column(place).to_pylist()], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept

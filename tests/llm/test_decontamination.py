@@ -114,3 +114,22 @@ def test_edited_copies_against_full_alignment(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id): r.score for r in D.find_leaks(frame, bench).collect()} == pytest.approx(want)
     assert D.decontaminate(frame, bench).count() == len(docs) - len({i for i, _ in want})
+
+
+def test_short_items_match_in_full(spark):
+    items = [(1, "one two"), (2, "solo"), (3, "three in row"), (4, "...")]
+    docs = [(1, "x One, two y"), (2, "one x two"), (3, "a solo b"), (4, "soloist three in a row"), (5, "Three in row"), (6, "three in")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score, r.start, r.end) for r in D.find_leaks(frame, bench).collect()}
+    assert got == {(1, 1, 1.0, 2, 10), (3, 2, 1.0, 2, 6), (5, 3, 1.0, 0, 12)}
+    assert sorted(r.doc_id for r in D.decontaminate(frame, bench).collect()) == [2, 4, 6]
+
+
+def test_offsets_are_those_of_the_text(spark):
+    item = "Quite a long item with nine words in it"
+    docs = [(1, "\u0130" * 6 + " " + item.upper() + " end"), (None, "\u0130stanbul " + item), (None, "\u0130 " + "w " * 30_000 + item + " x" * 30_000)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (None, "\u0130stanbul")], "item_id long, text string")
+    rows = D.find_leaks(frame, bench).collect()
+    texts = {t[r.start : r.end].lower() for r in rows for i, t in docs if r.item_id == 7 and i == r.doc_id and len(t) > r.end}
+    assert len(rows) == 4 and item.lower() in texts
+    assert [(r.start, r.end) for r in rows if r.doc_id == 1] == [(7, 7 + len(item))]

@@ -1,10 +1,11 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Shingles of words are hashed once. The high bits of a hash are its bin, and each of the ``BINS`` bins keeps its least
-hash. An empty bin takes over the value of another bin by optimal densification: it tries bins given by hashes of its
-own number and the attempt until it meets one that isn't empty, the same for all documents. After ``TRIES`` attempts,
-the bin that comes first in an order which depends only on the two numbers is taken, so that documents with few shingles
-end at once. A value taken over is hashed anew with the number of its new bin; else the few values of a short document
+hash. An empty bin takes over the value of another bin by optimal densification: it tries the bins in an order of its own, a
+permutation drawn by a hash of its number and the same for all documents, until it meets one that isn't empty. In its
+permutation the bin ``i`` meets the bin ``a + t * b`` (modulo ``BINS``, ``b`` odd) at step ``t``, so the step of any
+bin is known too: the first ``TRIES`` steps are tried one by one, and for the few bins still empty after that, which
+only short texts have, the filled bin with the least step is looked up among the filled ones. A value taken over is hashed anew with the number of its new bin; else the few values of a short document
 would agree with those of another in all their bins at once. The low ``LOW`` bits of each value are packed into longs. Two fingerprints agree by chance in one
 of ``2 ** LOW`` bins, which the likeness corrects for.
 
@@ -28,6 +29,8 @@ BINS, LOW = 256, 4
 BIN_BITS = BINS.bit_length() - 1
 PER_LONG = 64 // LOW
 TRIES = 12
+#: Bytes of text in a range of ids, about, and ranges at most; beyond, ranges grow.
+RANGE_BYTES, RANGES = 64 << 20, 1 << 14
 _ONES = sum(1 << (LOW * k) for k in range(PER_LONG))
 
 
@@ -73,10 +76,23 @@ def dense(text: Column, words: int) -> Column:
         return let(F.concat(gap(_bin(F.get(f, F.lit(0)))), filled), lambda v: fill(f, v))
 
     def fill(f: Column, v: Column) -> Column:
-        attempt = lambda i, t: F.get(v, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int"))
-        last = lambda i: F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(i, _bin(x)).alias("o"), x.alias("x"))))["x"]
-        borrowed = lambda i: F.coalesce(*(attempt(i, t) for t in range(1, TRIES + 1)), last(i))
-        return F.transform(positions, lambda i: F.coalesce(F.get(v, i), F.xxhash64(borrowed(i), i)))
+        within = lambda x: x.bitwiseAND(F.lit(BINS - 1))
+        first = lambda d: d.bitwiseAND(F.lit(0xFFFF)).cast("int")
+        odd = lambda d: F.shiftrightunsigned(d, 16).bitwiseAND(F.lit(0xFFFF)).cast("int").bitwiseOR(F.lit(1))
+        attempt = lambda d, t: F.get(v, within(first(d) + odd(d) * t))
+
+        def least(d: Column) -> Column:
+            step = lambda x, back: within((_bin(x) - first(d)) * back)
+            return let(inverse(within(odd(d))), lambda back: F.array_min(F.transform(f, lambda x: F.struct(step(x, back).alias("t"), x.alias("x"))))["x"])
+
+        borrowed = lambda d: F.coalesce(*(attempt(d, t) for t in range(TRIES)), least(d))
+        return F.transform(positions, lambda i: F.coalesce(F.get(v, i), let(F.xxhash64(i), lambda d: F.xxhash64(borrowed(d), i))))
+
+    def inverse(b: Column) -> Column:
+        """The number whose product with an odd ``b`` is 1 modulo ``BINS``; each step doubles the bits that are right."""
+        near = b * (2 - b * b).bitwiseAND(F.lit(BINS - 1))
+        near = near.bitwiseAND(F.lit(BINS - 1))
+        return (near * (2 - b * near).bitwiseAND(F.lit(BINS - 1))).bitwiseAND(F.lit(BINS - 1))
 
     return let(bins(text, words), lambda f: F.when(F.size(f) == BINS, f).when(F.size(f) > 0, spread(f)))
 
@@ -115,15 +131,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(one_sided, F.greatest(F.lit(0.0), value))
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, columns: list[str], size: int = 0) -> DataFrame:
     """Adds ``next_<column>``: the value of the row that follows by descending id; the first row follows the last.
 
     Rows are dealt into ranges of ids, cut at ids that the table has. The rows of a cut id are the first of their range
     and also close the range before as guests, and those of the largest id close the last range, so no range needs
-    another. ``columns[0]`` orders rows of one id.
+    another. ``columns[0]`` orders rows of one id. ``size`` is the bytes of the rows, if known: a range has about ``RANGE_BYTES``.
     """
     spark = rows.sparkSession
-    parts = max(2, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(RANGES, max(2, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     cuts = common.id_bounds(rows, id_col, parts)
     top = rows.agg(F.max(id_col)).first()[0]
     at, ranges = F.col(id_col), common.Ranges(sorted({*cuts, top} - {None}))
@@ -148,7 +164,8 @@ def fingerprint_edits(docs: DataFrame, words: int = 5, id_col: str = "doc_id", t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("print", packed(F.col("text"), words))
-    rows = with_next(rows, "id", ["text", "print"])
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    rows = with_next(rows, "id", ["text", "print"], size)
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next_text").substr(F.lit(1), cut))

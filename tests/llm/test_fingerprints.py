@@ -73,10 +73,10 @@ def test_fingerprint_equals_plain_python(spark, rows):
             continue
         full = []
         for i in range(P.BINS):
-            tries = [i, *(int_hash((i, t), 42) % P.BINS for t in range(1, P.TRIES + 1))]
-            hit = next((b for b in tries if b in bins), None)
-            if hit is None:
-                hit = min(bins, key=lambda b: int_hash((i, b), 42))
+            drawn = int_hash((i,), 42) % (1 << 64)
+            start, step = drawn & 0xFFFF, (drawn >> 16) & 0xFFFF | 1
+            tries = [i, *((start + t * step) % P.BINS for t in range(P.BINS))]  # one after another, without a limit
+            hit = next(b for b in tries if b in bins)
             value = bins[hit]
             if hit != i:
                 value = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), 42))
@@ -85,6 +85,18 @@ def test_fingerprint_equals_plain_python(spark, rows):
         assert [x % (1 << 64) for x in r.p] == want
 
 
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_BYTES", 1000)
+    rows = [(k, f"{k} " * (k % 50)) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = P.fingerprint_edits(docs)
+    assert "Window" in many._jdf.queryExecution().toString()
+    monkeypatch.undo()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, P.fingerprint_edits(docs).collect()))
+    with pytest.raises(TypeError, match="whole numbers"):
+        P.fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_edges(spark):
     one = spark.createDataFrame([(7, "abcd efgh")], "doc_id long, text string")
     r = P.fingerprint_edits(one).first()

@@ -3,9 +3,9 @@
 Every source gets a target of words. It is taken whole as often as the target allows; the words that remain are made
 up of single documents. For those, documents are counted by exact length, a proportional share of each length is
 taken, and a bounded-knapsack dynamic programme over the remaining counts fits what is left to the word. Which documents
-of a length are taken follows from a seeded hash of their ids.
+of a length are taken follows from a seeded hash of their ids and texts.
 
-Only sources (at most ``MAX_SOURCES``, else an error) reach the driver. Histograms of lengths stay distributed, one row
+Only a row for each source reaches the driver; up to ``BROADCAST`` of them are broadcast, more are joined by shuffles. Histograms of lengths stay distributed, one row
 per source and length. Hot pairs of source and length are split by hash before they are ranked.
 
 Defined results: a null text has size 0, and documents of size 0 are never taken; a null source is a source of its own,
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quirion.llm import common
 
-#: Sources that a mix may have; their table is broadcast.
-MAX_SOURCES = 10_000
+#: Sources up to which their table is broadcast.
+BROADCAST = 10_000
 #: Words that the dynamic programme fits; what exceeds them is taken in whole documents before.
 WINDOW = 1 << 16
 #: A pair of source and length with over this share of all rows is split for ranking; so there are at most as many.
@@ -127,13 +127,11 @@ def mix(
         *keep,
         F.col(source_col).alias("__source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(common.WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("__hash"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"),
     )
     lengths = common.cut(rows.groupBy("__source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = lengths.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n"))
-    sources = sorted(totals.limit(MAX_SOURCES + 1).collect(), key=lambda r: (r["__source"] is None, r["__source"] or ""))
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"a mix takes {MAX_SOURCES} sources at most")
+    sources = sorted(totals.collect(), key=lambda r: (r["__source"] is None, r["__source"] or ""))
     sizes, n_rows = [r["words"] for r in sources], sum(r["n"] for r in sources)
     targets = capped_targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share * sum(sizes), epochs)
     plan = []
@@ -146,7 +144,7 @@ def mix(
     table = spark.createDataFrame(plan, f"__name {kind}, __code int, source_size long, target double, __whole int, __budget long")
 
     def coded(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__name"))).drop("__source", "__name")
+        return df.join(F.broadcast(table) if len(plan) <= BROADCAST else table, F.col("__source").eqNullSafe(F.col("__name"))).drop("__source", "__name")
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
@@ -166,6 +164,6 @@ def mix(
     starts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     starts = starts.join(quotas, pair).select(*keys, (F.col("__quota") - F.col("__start")).alias("__take"))
-    inside = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", id_col if id_col in keep else "__hash")))
+    inside = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash")))
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("__whole") + (F.col("__rank") <= F.col("__take")).cast("int"))
     return inside.join(starts, keys).select(*keep, "size", "source_size", "target", times.alias("times"))

@@ -75,3 +75,19 @@ def test_operator(spark, rows):
     clashing = docs.selectExpr("*", "1 AS name", "2 AS code", "3 AS budget", "4 AS n", "5 AS whole")
     assert mix(clashing).columns == ["doc_id", "text", "source", "name", "code", "budget", "n", "whole", "size", "source_size", "target", "times"]
     assert mix(clashing).count() == len(rows)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rows = [(7, f"w{k} b c", "s") for k in range(200)] + [(None, f"x{k} b c", "t") for k in range(40)] + [(None, "long " * 20_000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [sorted((r.text, r.times) for r in mix(d, share=0.5).collect()) for d in (docs, docs.repartition(5), docs.orderBy("text"))]
+    assert taken[0] == taken[1] == taken[2] and 0 < sum(n for _, n in taken[0])
+
+
+def test_many_sources(spark, monkeypatch):
+    from quirion.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST", 10)
+    rows = [(k, "a b " * (1 + k % 3), None if k == 5 else f"s{k % 60}") for k in range(600)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["source"]).collect()
+    assert len(got) == 600 and len({r.source for r in got}) == 61 and all(r.target <= 3 * r.source_size + 1e-6 for r in got)

@@ -2,8 +2,8 @@
 
 The network reads UTF-8 bytes in both directions, labels every position with a probability for each language, and a
 document's probabilities are the means over its positions. It is trained here in numpy by backpropagation through time
-on windows of a bounded sample of labelled documents. Long texts are read whole, as windows of ``WINDOW`` bytes that
-each start from an empty state.
+on windows of ``WINDOW`` bytes of a bounded sample of labelled documents: ``DOCUMENTS`` of each of the ``LANGUAGES`` that
+most documents have. Texts are read whole, in stretches of ``STRETCH`` bytes, a quarter of a short page, that each start from an empty state.
 
 Training sees the text and label of sampled documents only; predictions see the text only.
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quirion.llm import common
 
-#: Bytes that are read in one go, and the width of each direction's state.
-WINDOW, HIDDEN = 64, 12
+#: Bytes of a window to learn from, bytes that are read in one go, and the width of each direction's state.
+WINDOW, STRETCH, HIDDEN = 64, 256, 12
 #: The sample: documents of each language, windows of each, and languages.
 DOCUMENTS, WINDOWS, LANGUAGES = 400, 4, 200
 PAD = 256
@@ -151,15 +151,15 @@ class Network:
             return names, scores
         data = [texts[k].encode("utf-8", "replace") for k in known]
         sizes = np.array([len(d) for d in data])
-        rows = -(-sizes // WINDOW)
-        x = np.full((int(rows.sum()), WINDOW), PAD, np.int16)
+        rows = -(-sizes // STRETCH)
+        x = np.full((int(rows.sum()), min(STRETCH, int(sizes.max()))), PAD, np.int16)
         firsts = np.cumsum(rows) - rows
         for d, first, n in zip(data, firsts, rows, strict=True):
             x[first : first + n].reshape(-1)[: len(d)] = np.frombuffer(d, np.uint8)
         sums = np.empty((len(x), len(self.languages)))
-        for k in range(0, len(x), 1024):
-            some = x[k : k + 1024]
-            sums[k : k + 1024] = (self.probabilities(some) * (some != PAD)[..., None]).sum(axis=1)
+        for k in range(0, len(x), 512):
+            some = x[k : k + 512]
+            sums[k : k + 512] = (self.probabilities(some) * (some != PAD)[..., None]).sum(axis=1)
         pooled = np.add.reduceat(sums, firsts, axis=0) / sizes[:, None]
         best = pooled.argmax(axis=1)
         for k, b, p in zip(known, best, pooled, strict=True):
@@ -175,24 +175,23 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> Network:
     """Trains a network on a bounded sample of the labelled documents that aren't held out.
 
-    Of each language, the ``DOCUMENTS`` documents with the least hashes of their ids are taken, and ``WINDOWS`` windows
-    of each at places that follow from the hash. More than ``LANGUAGES`` languages are an error.
+    Of each language, the ``DOCUMENTS`` documents with the least hashes of id and text are taken, repeated rows once, and
+    ``WINDOWS`` windows of each at places that follow from the hash.
     """
+    draw = F.xxhash64(F.lit(seed), id_col, text_col)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"at most {LANGUAGES} languages can be learned")
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(draw).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Network([])
-    draw = F.xxhash64(F.lit(seed), id_col)
     # Twice the share that would do on average; the least hashes of each language are picked from these.
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * DOCUMENTS + 50) / r["n"])) for r in counts], "__lang string, __share double")
     position = F.shiftrightunsigned(draw, 33).cast("double") / float(1 << 31)
     spread = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
     windows = [F.col(text_col).substr((F.pmod(F.xxhash64(draw, F.lit(k)), spread) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]
     near = labelled.join(F.broadcast(share), F.col(lang_col) == F.col("__lang")).filter(position < F.col("__share"))
-    sample = near.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.array(*windows).alias("windows")).collect()
+    sample = near.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.array(*windows).alias("windows"))
+    sample = sample.dropDuplicates(["lang", "draw"]).orderBy("draw").limit(LANGUAGES * 4 * DOCUMENTS).collect()
     taken: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["draw"] % (1 << 64), r["windows"])):
         own = taken.setdefault(r["lang"], [])

@@ -40,6 +40,47 @@ def test_padding_changes_nothing():
     assert np.allclose(net.probabilities(padded)[:, :40], net.probabilities(data), atol=1e-5)
 
 
+def test_probabilities_equal_plain_loops():
+    """Each position by the equations of a gated recurrent unit, one number at a time."""
+    import math
+
+    net = L.Network(["a", "b", "c"], hidden=3, seed=4)
+    data = [5, 200, 17, 17, 99, 0, 255]
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    n, sig = net.hidden, lambda v: 1 / (1 + math.exp(-v))
+    states = [[], []]
+    for way, order in ((0, data), (1, data[::-1])):
+        h = [0.0] * n
+        for byte in order:
+            row, inside = p["table"][way][byte], [sum(h[i] * p["inner"][way][i][j] for i in range(n)) for j in range(3 * n)]
+            z = [sig(row[j] + inside[j]) for j in range(n)]
+            r = [sig(row[n + j] + inside[n + j]) for j in range(n)]
+            new = [math.tanh(row[2 * n + j] + r[j] * inside[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            states[way].append(h)
+    want = []
+    for ahead, back in zip(states[0], states[1][::-1], strict=True):
+        both = ahead + back
+        e = [math.exp(sum(both[i] * p["out"][i][k] for i in range(2 * n)) + p["bias"][k]) for k in range(3)]
+        want.append([x / sum(e) for x in e])
+    assert np.allclose(net.probabilities(np.array([data], np.int16))[0], want, atol=1e-5)
+
+
+def test_rows_of_equal_or_null_ids_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(L, "DOCUMENTS", 30)
+    for i in (None, 8):
+        rows = [(i, f"{'the of and' if k % 2 else 'der und die'} {k}", "en" if k % 2 else "de") for k in range(3000)]
+        rows += [(i, "copy of a copy", "en")] * 2000
+        net = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert net.languages == ["de", "en"] and net.predict(["der und die 7", "the of and 8"])[0] == ["de", "en"]
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    rows = [(k, f"text {k}", "abbccc"[k % 6]) for k in range(120)]
+    assert L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["b", "c"]
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -6,7 +6,7 @@ matches. Tests hold those against brute force, the library, exact round trips or
 
 from __future__ import annotations
 
-import corpus_pipeline
+from quirion.llm import pipeline
 from quirion.llm.line_dedup import FRINGE, LEAST, PASSAGE
 
 #: Unicode white space, for a dialect that knows the ASCII kind only.
@@ -55,4 +55,4 @@ SELECT doc_id, "start", "end", CAST(n_words AS BIGINT) AS n_words, CAST(shared_w
 
 def oracle_sql() -> dict[str, str]:
     found = {"op8_line_dedup": _LINE_DEDUP}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from quirion.llm import common
+from quirion.llm import common, pipeline
 
 
 def byte_bpe() -> str:
@@ -96,4 +95,4 @@ def queries():
         op9_secret_scan,
         op10_sharding,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}

@@ -1,82 +1,5 @@
-"""The corpus pipeline: language, near-duplicates, benchmark leaks, mix and shards, over the whole of ``documents``.
+"""The corpus pipeline of ``quirion.llm.pipeline``, where the driver looks for it."""
 
-Every stage takes the documents that the stage before kept and returns the columns of ``documents``; the last adds
-``shard`` and ``slot``. Stages are written as Parquet and read again by the next one.
+from quirion.llm.pipeline import ORACLE_SQL, STAGES, run
 
-* language: documents whose language isn't told (``und``) or hardly (a score under ``LEAST_SCORE``) go.
-* near_duplicates: of each group of texts with a similarity of five-word shingles of 0.8 or more, the first stays.
-* decontamination: documents that hold a benchmark item go.
-* mixing: a document comes as often as the mix takes it, from not at all to three times.
-* sharding (columns ``shard`` and ``slot`` of the input are replaced): rows are placed in 16 shards of near equal bytes; copies of a text share a shard, slots have no gaps.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quirion.llm import common
-from quirion.llm.decontamination import decontaminate
-from quirion.llm.language_id import keep_known, learn
-from quirion.llm.mixing import mix
-from quirion.llm.sharding import shard
-from quirion.llm.similar import keep_one
-
-#: A language with a lower score isn't told: with four languages, hardly above chance.
-LEAST_SCORE = 0.35
-SHARDS = 16
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
-    return keep_known(docs, learn(docs), LEAST_SCORE)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
-    return keep_one(docs, similarity=0.8, words=5)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
-    return decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """The columns that operators look at, and the whole row beside them, so that no name can clash."""
-    return docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []), F.struct("*").alias("__row"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(_packed(docs), keep=["__row"]).filter("times > 0")
-    return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__row.*")
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = shard(_packed(docs.drop("shard", "slot")), SHARDS, keep=["__row"])
-    return placed.select("__row.*", "shard", "slot")
-
-
-STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("sharding", sharding),
-]
-
-#: Networks, fingerprints and alignments have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that come out of all stages. What a stage wrote is deleted when the next one has written its rows."""
-    docs, before = common.table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = common.new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            common.remove(spark, before)
-        before = path
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -77,16 +77,20 @@ def dense(text: Column, words: int) -> Column:
 
     def fill(f: Column, v: Column) -> Column:
         within = lambda x: x.bitwiseAND(F.lit(BINS - 1))
-        first = lambda d: d.bitwiseAND(F.lit(0xFFFF)).cast("int")
-        odd = lambda d: F.shiftrightunsigned(d, 16).bitwiseAND(F.lit(0xFFFF)).cast("int").bitwiseOR(F.lit(1))
-        attempt = lambda d, t: F.get(v, within(first(d) + odd(d) * t))
+        # Permutations differ by a hash of the bin: its low bits are the first step, others the width of all.
+        first = lambda d: within(d)
+        odd = lambda d: within(F.shiftrightunsigned(d, 16)).bitwiseOR(F.lit(1))
 
-        def least(d: Column) -> Column:
-            step = lambda x, back: within((_bin(x) - first(d)) * back)
-            return let(inverse(within(odd(d))), lambda back: F.array_min(F.transform(f, lambda x: F.struct(step(x, back).alias("t"), x.alias("x"))))["x"])
+        def borrowed(start: Column, width: Column) -> Column:
+            return F.coalesce(*(F.get(v, within(start + width * t)) for t in range(TRIES)), least(start, width))
 
-        borrowed = lambda d: F.coalesce(*(attempt(d, t) for t in range(TRIES)), least(d))
-        return F.transform(positions, lambda i: F.coalesce(F.get(v, i), let(F.xxhash64(i), lambda d: F.xxhash64(borrowed(d), i))))
+        def least(start: Column, width: Column) -> Column:
+            step = lambda x, back: within((_bin(x) - start) * back)
+            return let(inverse(width), lambda back: F.array_min(F.transform(f, lambda x: F.struct(step(x, back).alias("t"), x.alias("x"))))["x"])
+
+        order = F.transform(positions, lambda i: F.xxhash64(i).cast("int"))
+        found = lambda i, d: let(first(d), lambda start: let(odd(d), lambda width: F.xxhash64(borrowed(start, width), i)))
+        return F.zip_with(positions, order, lambda i, d: F.coalesce(F.get(v, i), found(i, d)))
 
     def inverse(b: Column) -> Column:
         """The number whose product with an odd ``b`` is 1 modulo ``BINS``; each step doubles the bits that are right."""

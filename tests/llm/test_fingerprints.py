@@ -74,7 +74,7 @@ def test_fingerprint_equals_plain_python(spark, rows):
         full = []
         for i in range(P.BINS):
             drawn = int_hash((i,), 42) % (1 << 64)
-            start, step = drawn & 0xFFFF, (drawn >> 16) & 0xFFFF | 1
+            start, step = drawn & 0xFF, (drawn >> 16) & 0xFF | 1
             tries = [i, *((start + t * step) % P.BINS for t in range(P.BINS))]  # one after another, without a limit
             hit = next(b for b in tries if b in bins)
             value = bins[hit]

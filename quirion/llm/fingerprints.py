@@ -88,7 +88,7 @@ def dense(text: Column, words: int) -> Column:
             step = lambda x, back: within((_bin(x) - start) * back)
             return let(inverse(width), lambda back: F.array_min(F.transform(f, lambda x: F.struct(step(x, back).alias("t"), x.alias("x"))))["x"])
 
-        order = F.transform(positions, lambda i: F.xxhash64(i).cast("int"))
+        order = F.transform(positions, lambda i: F.xxhash64(i).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
         found = lambda i, d: let(first(d), lambda start: let(odd(d), lambda width: F.xxhash64(borrowed(start, width), i)))
         return F.zip_with(positions, order, lambda i, d: F.coalesce(F.get(v, i), found(i, d)))
 

@@ -1,11 +1,10 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Shingles of words are hashed once. The high bits of a hash are its bin, and each of the ``BINS`` bins keeps its least
-hash. An empty bin takes over the value of another bin by optimal densification: it tries the bins in an order of its own, a
-permutation drawn by a hash of its number and the same for all documents, until it meets one that isn't empty. In its
-permutation the bin ``i`` meets the bin ``a + t * b`` (modulo ``BINS``, ``b`` odd) at step ``t``, so the step of any
-bin is known too: the first ``TRIES`` steps are tried one by one, and for the few bins still empty after that, which
-only short texts have, the filled bin with the least step is looked up among the filled ones. A value taken over is hashed anew with the number of its new bin; else the few values of a short document
+hash. An empty bin takes over the value of another bin by optimal densification: it goes through the bins in an order of
+its own, the same for all documents, until it meets one that isn't empty. The order starts with the ``TRIES`` bins
+that hashes of the bin's number and the attempt give, and goes on with all bins by a hash of the two bins' numbers; as
+that rest covers every bin, the search always ends. A value taken over is hashed anew with the number of its new bin; else the few values of a short document
 would agree with those of another in all their bins at once. The low ``LOW`` bits of each value are packed into longs. Two fingerprints agree by chance in one
 of ``2 ** LOW`` bins, which the likeness corrects for.
 
@@ -76,27 +75,10 @@ def dense(text: Column, words: int) -> Column:
         return let(F.concat(gap(_bin(F.get(f, F.lit(0)))), filled), lambda v: fill(f, v))
 
     def fill(f: Column, v: Column) -> Column:
-        within = lambda x: x.bitwiseAND(F.lit(BINS - 1))
-        # Permutations differ by a hash of the bin: its low bits are the first step, others the width of all.
-        first = lambda d: within(d)
-        odd = lambda d: within(F.shiftrightunsigned(d, 16)).bitwiseOR(F.lit(1))
-
-        def borrowed(start: Column, width: Column) -> Column:
-            return F.coalesce(*(F.get(v, within(start + width * t)) for t in range(TRIES)), least(start, width))
-
-        def least(start: Column, width: Column) -> Column:
-            step = lambda x, back: within((_bin(x) - start) * back)
-            return let(inverse(width), lambda back: F.array_min(F.transform(f, lambda x: F.struct(step(x, back).alias("t"), x.alias("x"))))["x"])
-
-        order = F.transform(positions, lambda i: F.xxhash64(i).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-        found = lambda i, d: let(first(d), lambda start: let(odd(d), lambda width: F.xxhash64(borrowed(start, width), i)))
-        return F.zip_with(positions, order, lambda i, d: F.coalesce(F.get(v, i), found(i, d)))
-
-    def inverse(b: Column) -> Column:
-        """The number whose product with an odd ``b`` is 1 modulo ``BINS``; each step doubles the bits that are right."""
-        near = b * (2 - b * b).bitwiseAND(F.lit(BINS - 1))
-        near = near.bitwiseAND(F.lit(BINS - 1))
-        return (near * (2 - b * near).bitwiseAND(F.lit(BINS - 1))).bitwiseAND(F.lit(BINS - 1))
+        attempt = lambda i, t: F.get(v, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int"))
+        last = lambda i: F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(i, _bin(x)).alias("o"), x.alias("x"))))["x"]
+        borrowed = lambda i: F.coalesce(*(attempt(i, t) for t in range(1, TRIES + 1)), last(i))
+        return F.transform(positions, lambda i: F.coalesce(F.get(v, i), F.xxhash64(borrowed(i), i)))
 
     return let(bins(text, words), lambda f: F.when(F.size(f) == BINS, f).when(F.size(f) > 0, spread(f)))
 

@@ -73,10 +73,8 @@ def test_fingerprint_equals_plain_python(spark, rows):
             continue
         full = []
         for i in range(P.BINS):
-            drawn = int_hash((i,), 42) % (1 << 64)
-            start, step = drawn & 0xFF, (drawn >> 16) & 0xFF | 1
-            tries = [i, *((start + t * step) % P.BINS for t in range(P.BINS))]  # one after another, without a limit
-            hit = next(b for b in tries if b in bins)
+            order = [i, *(int_hash((i, t), 42) % P.BINS for t in range(1, P.TRIES + 1)), *sorted(range(P.BINS), key=lambda b: int_hash((i, b), 42))]
+            hit = next(b for b in order if b in bins)
             value = bins[hit]
             if hit != i:
                 value = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), 42))

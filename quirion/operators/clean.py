@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirion.functions.text import is_blank, joined, strip
@@ -45,6 +45,23 @@ def clean_blocks(blocks: DataFrame, noise: DataFrame) -> DataFrame:
     return kept.join(noise.select("doc_id", "trimmed"), ["doc_id", "trimmed"], "left_anti").drop("trimmed")
 
 
+def without_noise(blocks: DataFrame, page_counts: DataFrame, page_height: float = PAGE_HEIGHT) -> DataFrame:
+    """The same as ``clean_blocks`` by ``noise_texts``, reading the blocks once.
+
+    Counts are windows that share the partition of the document, so blocks move once and stay where they are.
+    """
+    centre = (F.coalesce("y0", F.lit(0.0)) + F.coalesce("y1", F.lit(page_height))) / 2
+    zone = F.when(centre < page_height * HEADER_ZONE, "header").when(centre > page_height * FOOTER_ZONE, "footer")
+    rows = _trimmed(blocks).filter("trimmed <> ''").withColumn("__zone", zone).repartition("doc_id")
+    rows = rows.join(page_counts.select("doc_id", F.col("n_pages").alias("__pages")), "doc_id", "left")
+    least = F.greatest(F.lit(LEAST_REPEATS), (F.col("__pages") * REPETITION).cast("int"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "trimmed", "__zone"))
+    noise = (F.col("__pages") >= 2) & (F.col("trimmed").rlike(_PAGE_NUMBER) | (F.col("__zone").isNotNull() & (same >= least)))
+    rows = rows.withColumn("__noise", F.coalesce(noise, F.lit(False)))
+    rows = rows.withColumn("__noise", F.bool_or("__noise").over(Window.partitionBy("doc_id", "trimmed")))
+    return rows.filter(~F.col("__noise") & (F.length("trimmed") >= LEAST_CHARS)).drop("trimmed", "__zone", "__pages", "__noise")
+
+
 def clean_pages(pages: DataFrame, cleaned: DataFrame, order: str = "block_idx") -> DataFrame:
     """Page texts of the blocks kept; pages that lost all of them stay, with an empty text."""
     shown = F.sort_array(F.collect_list(F.when(~is_blank("text"), F.struct(order, "text"))))

@@ -58,7 +58,7 @@ def reading_order(blocks: DataFrame, page_width: float = PAGE_WIDTH) -> DataFram
     """Adds ``n_columns``, ``zone`` and ``reading_idx`` (from 0).
 
     On a page of two columns the left one comes first, then what spans both, then the right one. A block that belongs to
-    the left and to the right column comes twice.
+    the left and to the right column comes twice, and one whose place isn't known comes with those that span both.
     """
     middle, half = page_width / 2, (F.col("x0") + F.col("x1")) / 2
     least = F.greatest(F.lit(2), F.floor(F.count(F.lit(1)).over(_page()) / 4))
@@ -66,7 +66,7 @@ def reading_order(blocks: DataFrame, page_width: float = PAGE_WIDTH) -> DataFram
     right = F.count_if(half > middle * (1 + COLUMN_MARGIN)).over(_page())
     columns = F.when((left >= least) & (right >= least), 2).otherwise(1)
     in_left, in_right = F.col("x1") <= middle * (1 + COLUMN_OVERLAP), F.col("x0") >= middle * (1 - COLUMN_OVERLAP)
-    zones = F.filter(F.array(F.when(in_left, 0), F.when(~in_left & ~in_right, 1), F.when(in_right, 2)), lambda z: z.isNotNull())
+    zones = F.filter(F.array(F.when(in_left, 0), F.when(F.coalesce(~in_left & ~in_right, F.lit(True)) & ~F.coalesce(in_left, F.lit(False)) & ~F.coalesce(in_right, F.lit(False)), 1), F.when(in_right, 2)), lambda z: z.isNotNull())
     placed = blocks.withColumn("n_columns", columns).withColumn("zone", F.explode(F.when(F.col("n_columns") == 2, zones).otherwise(F.array(F.lit(0)))))
     return placed.withColumn("reading_idx", F.row_number().over(_page().orderBy("zone", "y0", "x0", "block_idx")) - 1)
 

@@ -151,7 +151,9 @@ def jpeg(image: bytes, most: tuple[int, int] = VISION_SIZE, quality: int = JPEG_
     import io
 
     picture = Image.open(io.BytesIO(image)).convert("RGB")
-    picture.thumbnail(most)
+    ratio = min(most[0] / picture.width, most[1] / picture.height)
+    if ratio < 1:  # sizes are cut to whole pixels, as in vision_size
+        picture = picture.resize((int(picture.width * ratio), int(picture.height * ratio)), Image.Resampling.LANCZOS)
     out = io.BytesIO()
     picture.save(out, "JPEG", quality=quality, optimize=True)
     return out.getvalue()

@@ -57,6 +57,7 @@ class ChunkOptions:
     chunk_overlap: int = 0
     similarity_threshold: float = 0.7
     embedding_model: str = ""
+    detect_images: bool = True
 
     @property
     def min_paragraph(self) -> int:
@@ -80,6 +81,7 @@ class ChunkOptions:
             chunk_overlap=given.get("chunk_overlap") or conf.chunk_overlap,
             similarity_threshold=threshold,
             embedding_model=given.get("embedding_model") or conf.embedding_model,
+            detect_images=bool(given.get("detect_images", True)),
         )
 
 

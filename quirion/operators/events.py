@@ -63,10 +63,12 @@ def events(chunks: DataFrame, docs: DataFrame, errors: DataFrame | None = None)
     Image chunks in ``chunks`` come before text chunks and don't count in the total.
     """
     none = lambda kind: F.lit(None).cast(kind)
+    if "chunk_metadata" not in chunks.columns:
+        chunks = chunks.withColumn("chunk_metadata", none("string"))
     picture = F.col("chunking_method") == "image_description"
     rows = chunks.select(
         "doc_id", F.lit("chunk").alias("type"), F.when(picture, 0).otherwise(1).alias("part"), "chunk_index", "page_numbers", "content", "chunking_method",
-        none("int").alias("total_chunks"), none("string").alias("message"),
+        "chunk_metadata", none("int").alias("total_chunks"), none("string").alias("message"),
     )
     totals = chunks.filter(~picture).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     failed = errors if errors is not None else docs.select("doc_id", none("string").alias("message")).limit(0)
@@ -74,7 +76,7 @@ def events(chunks: DataFrame, docs: DataFrame, errors: DataFrame | None = None)
     good = F.col("message").isNull()
     ends = ended.select(
         "doc_id", F.when(good, "complete").otherwise("error").alias("type"), F.lit(2).alias("part"), none("int").alias("chunk_index"), none("array<int>").alias("page_numbers"),
-        none("string").alias("content"), none("string").alias("chunking_method"), F.when(good, F.coalesce("n", F.lit(0))).alias("total_chunks"), "message",
+        none("string").alias("content"), none("string").alias("chunking_method"), none("string").alias("chunk_metadata"), F.when(good, F.coalesce("n", F.lit(0))).alias("total_chunks"), "message",
     )
     return rows.unionByName(ends)
 
@@ -86,12 +88,13 @@ def wire(rows: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "part", "chunk_index",
         F.when(is_chunk, "PROCESSING").when(kind == "complete", "COMPLETED").otherwise("FAILED").alias("status"),
-        F.when(kind == "complete", "FINISHED").alias("stage"), "page_numbers", F.col("content").alias("text"),
+        F.when(kind == "complete", "FINISHED").alias("stage"), "page_numbers", F.col("content").alias("text"), "chunk_metadata",
         F.when(is_chunk, method_code(F.col("chunking_method"))).alias("chunking_method"), F.when(is_chunk, content_source(F.col("chunking_method"))).alias("content_source"),
         F.lit("").alias("template_used"), "total_chunks", F.col("message").alias("error_message"),
     )
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
-    """Adds ``chunk_metadata``, the facts of a chunk as JSON with other alphabets kept."""
-    return chunks.withColumn("chunk_metadata", F.to_json(F.struct("chunking_method", "char_count", "word_count", "paragraph_count")))
+    """Adds ``chunk_metadata``, the facts of a chunk as JSON with other alphabets kept; facts that it doesn't have are left out."""
+    facts = ("chunking_method", "char_count", "word_count", "paragraph_count", "image_index", "width", "height", "processing_status", "error_type")
+    return chunks.withColumn("chunk_metadata", F.to_json(F.struct(*(c for c in facts if c in chunks.columns))))

@@ -9,6 +9,7 @@ from quirion.functions.text import is_blank, joined
 
 #: Font size where none is known, and the flag of bold spans.
 FONT_SIZE, BOLD = 12.0, 16
+BOX = ("x0", "x1", "y0", "y1")
 
 
 def _ordered(*fields: str) -> Column:
@@ -19,18 +20,20 @@ def blocks_from_spans(spans: DataFrame) -> DataFrame:
     """Text blocks: spans joined by a space into lines, lines by a line break into blocks.
 
     Blank spans, blocks that aren't text (type 0) and blocks that end up blank are dropped. The font size is the mean of
-    the spans kept, and a block is bold if any span is. Spans are dealt by document first, so that lines, blocks and, after
+    the spans kept, and a block is bold if any span is. Where spans have the box of their block (``x0``, ``x1``, ``y0``, ``y1``), blocks get it. Spans are dealt by document first, so that lines, blocks and, after
     them, pages are grouped without moving again; text doesn't shrink by being grouped.
     """
     kept = spans.filter((F.col("block_type") == 0) & ~is_blank("text")).repartition("doc_id")
+    boxes = [F.min(c).alias(c) for c in BOX if c in spans.columns]
     lines = kept.groupBy("doc_id", "page_number", "block_no", "line_no").agg(
         joined(_ordered("span_no", "text"), "text", " ").alias("text"),
         F.sum(F.coalesce("size", F.lit(FONT_SIZE))).alias("size"),
         F.count(F.lit(1)).alias("n"),
         F.bool_or(F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(BOLD)) != 0).alias("bold"),
+        *boxes,
     )
     blocks = lines.groupBy("doc_id", "page_number", F.col("block_no").alias("block_idx")).agg(
-        joined(_ordered("line_no", "text"), "text", "\n").alias("text"), (F.sum("size") / F.sum("n")).alias("font_size"), F.bool_or("bold").alias("is_bold")
+        joined(_ordered("line_no", "text"), "text", "\n").alias("text"), (F.sum("size") / F.sum("n")).alias("font_size"), F.bool_or("bold").alias("is_bold"), *boxes
     )
     return blocks.filter(~is_blank("text"))
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirion.conf import ChunkOptions
+from quirion.conf import ChunkOptions, VisionOptions
 from quirion.operators import chunk, clean, detect, events, extract, images, layout, preprocess, sections
 from quirion.plans import oracles, pipeline
-from quirion.providers import HashEmbedder
+from quirion.providers import EchoOcr, EchoVision, JsonDecoder, LetterEmbedder, described
 from quirion.sources import derived as D
 from quirion.sources import objects
 from quirion.sources.tables import shared_folder, table
@@ -19,6 +19,7 @@ from quirion.streaming.pages import streamed_chunks
 #: Options of the chunk queries.
 OPTIONS = ChunkOptions.resolve({"chunk_size": oracles.SIZE, "min_chunk_size": oracles.LEAST})
 OVERLAPPED = ChunkOptions.resolve({"chunk_size": oracles.SIZE, "min_chunk_size": oracles.LEAST, "chunk_overlap": oracles.OVERLAP})
+EMBEDDED = ChunkOptions.resolve({"chunk_size": oracles.SIZE, "min_chunk_size": oracles.LEAST, "similarity_threshold": oracles.ALIKE})
 GROUPED = ChunkOptions.resolve({"chunk_size": 1500, "similarity_threshold": 0.1})
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,14 +30,18 @@ def _listed(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", F.array_join("page_numbers", ",").alias("pages"), *rest)
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Events on the wire, with page numbers as text."""
+    return events.wire(rows).withColumn("pages", F.array_join("page_numbers", ",")).drop("page_numbers")
+
+
 def _chunks() -> dict[str, Query]:
     pages = lambda s, d: D.derived(s, d, D.PAGES)
     turns = lambda s, d: D.derived(s, d, D.TURNS)
 
     def chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = turns(spark, sf_dir)
-        sent = events.wire(events.events(chunk.page_chunks(rows), rows.select("doc_id")))
-        return sent.withColumn("pages", F.array_join("page_numbers", ",")).drop("page_numbers")
+        return _sent(events.events(events.chunk_metadata(chunk.page_chunks(rows)), rows.select("doc_id")))
 
     return {
         "chunk_page": lambda s, d: _listed(chunk.page_chunks(turns(s, d))),
@@ -46,7 +51,7 @@ def _chunks() -> dict[str, Query]:
         "chunk_paragraph": lambda s, d: _listed(chunk.paragraph_chunks(pages(s, d), OPTIONS)),
         "chunk_paragraph_overlap": lambda s, d: _listed(chunk.paragraph_chunks(pages(s, d), OVERLAPPED)),
         "chunk_semantic_simple": lambda s, d: _listed(chunk.semantic_chunks(pages(s, d), OPTIONS)),
-        "chunk_semantic_embedded": lambda s, d: _listed(chunk.semantic_chunks(pages(s, d), OPTIONS, HashEmbedder())),
+        "chunk_semantic_embedded": lambda s, d: _listed(chunk.semantic_chunks(pages(s, d), EMBEDDED, LetterEmbedder())),
         "chunk_hybrid": lambda s, d: _listed(chunk.hybrid_chunks(pages(s, d), OVERLAPPED)),
         "semantic_groups": lambda s, d: _listed(chunk.semantic_groups(D.derived(s, d, D.PARAGRAPH_EMBEDDINGS), GROUPED)),
     }
@@ -57,13 +62,18 @@ def _blocks() -> dict[str, Query]:
     pages = lambda s, d: D.derived(s, d, D.SPARK_BLOCK_PAGES)
     counts = lambda s, d: pages(s, d).select("doc_id", "n_pages").distinct()
     noise = lambda s, d: clean.noise_texts(blocks(s, d), counts(s, d))
-    kept = lambda s, d: clean.clean_blocks(blocks(s, d), noise(s, d))
+    kept = lambda s, d: clean.without_noise(blocks(s, d), counts(s, d))
     key = ("doc_id", "page_number", "block_idx")
 
     def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = images.smart_images(D.derived(spark, sf_dir, D.IMAGES))
-        rows = pipeline.process(pages(spark, sf_dir), blocks(spark, sf_dir), OPTIONS, images.descriptions(_answered(found)))
-        return events.wire(rows).withColumn("pages", F.array_join("page_numbers", ",")).drop("page_numbers")
+        return _sent(pipeline.process(pages(spark, sf_dir), blocks(spark, sf_dir), OPTIONS, images.descriptions(_answered(found))))
+
+    def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+        block = F.struct("page_number", "block_idx", "text", "x0", "x1", "y0", "y1", "font_size", "is_bold")
+        files = blocks(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(block))).alias("content"))
+        content = F.when(F.col("doc_id") % 10 == 3, "broken").otherwise(F.col("content"))
+        return _sent(pipeline.file_events(files.withColumn("content", F.encode(content, "UTF-8")), JsonDecoder(), OPTIONS, EchoOcr()))
 
     return {
         "layout_area": lambda s, d: layout.classify_areas(blocks(s, d)).select(*key, "area_type", F.round("avg_font", 6).alias("avg_font")),
@@ -75,6 +85,7 @@ def _blocks() -> dict[str, Query]:
         "section_class": lambda s, d: sections.classify_sections(kept(s, d)).select(*key, "section_type", "section_confidence"),
         "section_matches": lambda s, d: blocks(s, d).select(*key, F.array_join(sections.section_matches("text"), ",").alias("sections")),
         "pipeline_full": pipeline_full,
+        "file_events": file_events,
     }
 
 
@@ -147,7 +158,11 @@ def _images() -> dict[str, Query]:
         rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "transform(sequence(0, 15), k -> CAST((doc_id * 7 + k * 37) % 256 AS INT)) AS pixels")
         return rows.select("doc_id", F.aggregate(preprocess.thresholded(F.col("pixels")), F.lit(0).cast("bigint"), lambda a, p: a + p).alias("white"))
 
+    def image_vision(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return described(smart(spark, sf_dir), EchoVision(), VisionOptions.resolve().vision_prompt).select(*key, "outcome", "answer")
+
     return {
+        "image_vision": image_vision,
         "image_basic": image_basic,
         "image_smart": lambda s, d: smart(s, d).select(*key, "width", "height", "colorspace"),
         "image_dedup": lambda s, d: images.first_copies(all_images(s, d)).select(*key, "image_hash"),
@@ -174,7 +189,16 @@ def _service() -> dict[str, Query]:
         rows = spark.createDataFrame([(s,) for s in [*events.LANGUAGES, "KLINGON"]], "language string")
         return rows.select("language", events.language_code(F.col("language")).alias("code"))
 
-    return {"validate_document": validate_document, "wire_stage_map": wire_stage_map, "wire_language_map": wire_language_map}
+    def option_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = [(k, o.strategy, o.chunk_size, o.min_chunk_size, o.chunk_overlap, o.similarity_threshold, o.detect_images) for k, o in enumerate(map(ChunkOptions.resolve, oracles.REQUESTS))]
+        return spark.createDataFrame(rows, "request int, strategy string, chunk_size int, min_chunk_size int, chunk_overlap int, similarity_threshold double, detect_images boolean")
+
+    def request_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = ("llm_provider", "llm_model", "llm_temperature", "llm_max_tokens", "chunk_strategy", "llm_api_key")
+        rows = [(k, *(o[n] for n in names)) for k, o in enumerate(events.request_options(*r) for r in oracles.WIRE_REQUESTS)]
+        return spark.createDataFrame(rows, "request int, provider string, model string, temperature double, max_tokens int, strategy string, api_key string")
+
+    return {"option_resolution": option_resolution, "request_mapping": request_mapping, "validate_document": validate_document, "wire_stage_map": wire_stage_map, "wire_language_map": wire_language_map}
 
 
 def queries() -> dict[str, Query]:

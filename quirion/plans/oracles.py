@@ -8,7 +8,10 @@ from quirion.sources import derived as D
 
 #: White space for RE2, which knows the ASCII kind only.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SIZE, LEAST, OVERLAP = 800, 200, 300
+SIZE, LEAST, OVERLAP, ALIKE = 800, 200, 300, 0.97
+#: Options of requests and requests on the wire for the queries that resolve them.
+REQUESTS = ({}, {"chunk_strategy": "HYBRID", "chunk_size": 0, "similarity_threshold": 0.0}, {"chunk_size": 900, "min_chunk_size": 50, "chunk_overlap": 10, "detect_images": False}, {"chunk_strategy": "", "chunk_overlap": None})
+WIRE_REQUESTS = (("openai", "m", 0.5, 100, "SEMANTIC", "k"), ("other", "", 0.0, 0, "UNSPECIFIED", ""), (None, None, -1.0, -1, "nothing", None))
 
 
 def strip(e: str) -> str:
@@ -62,6 +65,20 @@ def packed(source: str, name: str, size: int, method: str, overlap: int = 0, lin
     ]
 
 
+def _events(docs: str, pictures: str = "", failed: str = "") -> str:
+    """Messages of text chunks ``c``, of chunks of ``pictures``, and of the ends of documents; ``failed`` ones end with an error."""
+    facts = """'{"chunking_method":"page","char_count":' || char_count || ',"word_count":' || word_count || '}'"""
+    seen = """'{"chunking_method":"image_description","image_index":' || image_index || ',"width":' || width || ',"height":' || height || ',"processing_status":"' || processing_status || '"' || coalesce(',"error_type":"' || error_type || '"', '') || '}'"""
+    row = "SELECT doc_id, CAST({part} AS INT) AS part, chunk_index, 'PROCESSING' AS status, CAST(NULL AS VARCHAR) AS stage, pages, content AS text, {facts} AS chunk_metadata, 'UNSPECIFIED' AS chunking_method, '{source}' AS content_source, '' AS template_used, CAST(NULL AS INT) AS total_chunks, CAST(NULL AS VARCHAR) AS error_message FROM {table}"
+    parts = [row.format(part=1, facts=facts, source="OCR_EXTRACTION", table="c")]
+    if pictures:
+        parts.append(row.format(part=0, facts=seen, source="LLM_GENERATED", table=pictures))
+    parts.append(f"SELECT t.doc_id, 2, NULL, 'COMPLETED', 'FINISHED', NULL, NULL, NULL, NULL, NULL, '', CAST(count(c.doc_id) AS INT), NULL FROM (SELECT DISTINCT doc_id FROM {docs}) t LEFT JOIN c USING (doc_id) GROUP BY t.doc_id")
+    if failed:
+        parts.append(f"SELECT doc_id, 2, NULL, 'FAILED', NULL, NULL, NULL, NULL, NULL, NULL, '', NULL, message FROM {failed}")
+    return "\nUNION ALL ".join(parts)
+
+
 _CHUNK_LIST = "SELECT doc_id, chunk_index, pages, content, chunking_method, char_count, word_count, paragraph_count FROM {}"
 
 
@@ -72,13 +89,13 @@ def _chunks() -> dict[str, str]:
     again = ("again", "SELECT doc_id, chunk_index AS page_number_seq, page_list[1] AS page_number, content AS text FROM chunks")
     hybrid = [*own, *packed("paras", "chunks", SIZE, "paragraph", OVERLAP), again, *paras("again", "paras2", "page_number_seq"), *packed("paras2", "chunks2", SIZE, "semantic")]
     similar = "SELECT *, coalesce(list_cosine_similarity(lag(embedding) OVER (PARTITION BY doc_id ORDER BY seq)::DOUBLE[], embedding::DOUBLE[]) >= 0.1, true) AS joins FROM vectors"
+    letters = f"[{', '.join(f"(length(text) - length(replace(text, '{chr(97 + k)}', '')))::DOUBLE" for k in range(26))}]"
     groups = [("vectors", D.duckdb(D.PARAGRAPH_EMBEDDINGS)), ("joined_", similar), *packed("joined_", "groups", 1500, "semantic", linked="p.joins")]
-    ended = """SELECT doc_id, CAST(1 AS INT) AS part, chunk_index, 'PROCESSING' AS status, CAST(NULL AS VARCHAR) AS stage, pages, content AS text, 'UNSPECIFIED' AS chunking_method, 'OCR_EXTRACTION' AS content_source, '' AS template_used, CAST(NULL AS INT) AS total_chunks, CAST(NULL AS VARCHAR) AS error_message FROM c
-    UNION ALL SELECT t.doc_id, 2, NULL, 'COMPLETED', 'FINISHED', NULL, NULL, NULL, NULL, '', CAST(count(c.doc_id) AS INT), NULL FROM (SELECT DISTINCT doc_id FROM turns) t LEFT JOIN c USING (doc_id) GROUP BY t.doc_id"""
     return {
         "chunk_page": with_(turns, ("c", _PAGE_CHUNKS), then="SELECT * FROM c"),
         "chunk_page_stream": with_(turns, ("c", _PAGE_CHUNKS), then="SELECT * FROM c"),
-        "chunk_events": with_(turns, ("c", _PAGE_CHUNKS), then=ended),
+        "chunk_events": with_(turns, ("c", _PAGE_CHUNKS), then=_events("turns")),
+        "chunk_semantic_embedded": with_(*own, ("vectors", f"SELECT *, {letters} AS embedding FROM paras"), ("joined_", similar.replace("0.1", str(ALIKE))), *packed("joined_", "groups", SIZE, "semantic", linked="p.joins"), then=_CHUNK_LIST.format("groups"), recursive=True),
         "para_split": with_(*own, then="SELECT * FROM paras"),
         "chunk_paragraph": with_(*own, *plain, then=_CHUNK_LIST.format("chunks"), recursive=True),
         "chunk_paragraph_overlap": with_(*own, *packed("paras", "chunks", SIZE, "paragraph", OVERLAP), then=_CHUNK_LIST.format("chunks"), recursive=True),
@@ -128,10 +145,37 @@ def _sections(source: str) -> str:
 FROM (SELECT *, {first} AS found FROM (SELECT *, {strip('text')} AS txt, substr({strip('text')}, 1, 200) AS head, coalesce({_page_window('avg(nullif(font_size, 0))')}, 12) AS avg_font FROM {source}))"""
 
 
+def _cleaned(pages: str = "texts") -> list[tuple[str, str]]:
+    """Texts of pages (``texts``) from ``blocks`` and ``pages_``: reading order, noise over what it gives, and page texts."""
+    return [
+        ("o", _ORDER),
+        *((name, sql.replace("FROM blocks b", "FROM o b")) for name, sql in _NOISE),
+        _KEPT,
+        ("built_", "SELECT doc_id, page_number, string_agg(text, chr(10) || chr(10) ORDER BY reading_idx) AS built FROM kept GROUP BY doc_id, page_number"),
+        (pages, "SELECT p.doc_id, p.page_number, coalesce(built, '') AS text FROM pages_ p LEFT JOIN built_ USING (doc_id, page_number)"),
+    ]
+
+
+#: Files: blocks of all documents but those that can't be read, with the text of a picture where a page has little text.
+_FILES = [
+    ("given", D.duckdb(D.BLOCKS)),
+    ("readable", "SELECT * FROM given WHERE doc_id % 10 <> 3"),
+    ("facts", f"SELECT doc_id, page_number, length({strip('string_agg(text, chr(10) ORDER BY block_idx)')}) >= 50 AS digital FROM readable GROUP BY doc_id, page_number"),
+    ("kinds", "SELECT *, bool_and(digital) OVER d AS all_digital, bool_or(digital) OVER d AS any_digital, count(*) OVER d AS n_pages FROM facts WINDOW d AS (PARTITION BY doc_id)"),
+    ("pages_", "SELECT doc_id, page_number, n_pages, NOT any_digital OR NOT digital AS use_ocr FROM kinds"),
+    ("blocks", f"SELECT r.* FROM readable r JOIN pages_ p USING (doc_id, page_number) WHERE NOT use_ocr AND {strip('text')} <> '' UNION ALL SELECT doc_id, page_number, 0, 'ocr ' || page_number, 0, 595, 0, 842, 12, false FROM pages_ WHERE use_ocr"),
+    ("failed", "SELECT DISTINCT doc_id, 'Expecting value: line 1 column 1 (char 0)' AS message FROM given WHERE doc_id % 10 = 3"),
+]
+
+
 def _blocks() -> dict[str, str]:
     blocks, pages = ("blocks", D.duckdb(D.BLOCKS)), ("pages_", D.duckdb(D.BLOCK_PAGES))
     ordered_text = f"string_agg(text, chr(10) || chr(10) ORDER BY reading_idx) FILTER (WHERE {strip('text')} <> '')"
+    images = ("images", D.duckdb(D.IMAGES))
+    enriched = ("turns", "SELECT p.doc_id, p.page_number, CASE WHEN lines IS NULL THEN text ELSE text || chr(10) || chr(10) || lines END AS text FROM texts p LEFT JOIN l USING (doc_id, page_number)")
     return {
+        "pipeline_full": with_(blocks, pages, *_cleaned(), images, _smart(700, 200), _SAID, _LINES_OF_PAGES, _PICTURES, enriched, ("c", _PAGE_CHUNKS), then=_events("pages_", "pictures")),
+        "file_events": with_(*_FILES, *_cleaned("turns"), ("c", _PAGE_CHUNKS), then=_events("pages_", "", "failed")),
         "layout_area": with_(blocks, ("a", _AREAS), then="SELECT doc_id, page_number, block_idx, area_type, round(avg_font, 6) AS avg_font FROM a"),
         "detect_titles": with_(blocks, then=f"SELECT doc_id, page_number, block_idx, text FROM (SELECT *, {_page_window('avg(coalesce(font_size, 12))')} AS m FROM blocks) WHERE coalesce(font_size, 12) >= m * 1.3::DOUBLE"),
         "reading_order": with_(blocks, ("o", _ORDER), then="SELECT doc_id, page_number, block_idx, CAST(n_columns AS INT) AS n_columns, CAST(zone AS INT) AS zone, reading_idx FROM o"),
@@ -172,13 +216,21 @@ def _extraction() -> dict[str, str]:
 # --- images -----------------------------------------------------------------------------------------------------------
 
 
+def _smart(width: int, height: int) -> tuple[str, str]:
+    centre = "(bbox.y0 + bbox.y1) / 2"
+    return ("smart", f"SELECT * FROM (SELECT *, md5(decode(image_data)) AS image_hash, row_number() OVER (PARTITION BY doc_id, md5(decode(image_data)) ORDER BY page_number, image_index) AS copy FROM images WHERE NOT coalesce({centre} < 0.15 * page_height OR {centre} > 0.85 * page_height, false) AND width >= {width} AND height >= {height}) WHERE copy <= 1")
+
+
+_SAID = ("said", "SELECT doc_id, page_number, image_index, CASE doc_id % 13 WHEN 0 THEN format('" + I.NO_VISION.replace("%d", "{}") + "', width, height) WHEN 1 THEN format('" + I.FAILED.replace("%d", "{}") + "', width, height) ELSE 'desc ' || image_index END AS description, doc_id % 13 > 1 AS success, CASE doc_id % 13 WHEN 0 THEN 'no_vision_support' WHEN 1 THEN 'processing_error' END AS error_type, width, height FROM smart")
+_LINE = "format('" + I.LABEL.replace("%d", "{}").replace("%s", "{}") + "', image_index + 1, page_number, description)"
+_LINES_OF_PAGES = ("l", f"SELECT doc_id, page_number, string_agg({_LINE}, chr(10) ORDER BY image_index) AS lines, CAST(count(*) AS INT) AS n FROM said GROUP BY doc_id, page_number")
+_PICTURES = ("pictures", f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, image_index) - 1 AS INT) AS chunk_index, CAST(page_number AS VARCHAR) AS pages, {_LINE} AS content, CASE WHEN success THEN 'success' ELSE 'failed' END AS processing_status FROM said")
+
+
 def _images() -> dict[str, str]:
     images = ("images", D.duckdb(D.IMAGES))
     label = "CASE WHEN regexp_full_match(colorspace, '-?\\d+') THEN 'rgb' ELSE colorspace END AS colorspace"
-    centre = "(bbox.y0 + bbox.y1) / 2"
-    smart = ("smart", f"SELECT * FROM (SELECT *, md5(decode(image_data)) AS image_hash, row_number() OVER (PARTITION BY doc_id, md5(decode(image_data)) ORDER BY page_number, image_index) AS copy FROM images WHERE NOT coalesce({centre} < 0.15 * page_height OR {centre} > 0.85 * page_height, false) AND width >= 400 AND height >= 100) WHERE copy <= 1")
-    said = ("said", "SELECT doc_id, page_number, image_index, CASE doc_id % 13 WHEN 0 THEN format('" + I.NO_VISION.replace("%d", "{}") + "', width, height) WHEN 1 THEN format('" + I.FAILED.replace("%d", "{}") + "', width, height) ELSE 'desc ' || image_index END AS description, doc_id % 13 > 1 AS success, CASE doc_id % 13 WHEN 0 THEN 'no_vision_support' WHEN 1 THEN 'processing_error' END AS error_type, width, height FROM smart")
-    line = "format('" + I.LABEL.replace("%d", "{}").replace("%s", "{}") + "', image_index + 1, page_number, description)"
+    smart, said = _smart(400, 100), _SAID
     ratio = "least(1024.0::DOUBLE / width, 1024.0::DOUBLE / height)"
     scaled = lambda c: f"CAST(trunc(CASE WHEN width <= 1024 AND height <= 1024 THEN {c} ELSE {c} * {ratio} END) AS INT)"
     dpi = lambda c: f"CAST(trunc(CASE WHEN dpi <= 0 OR dpi = 300 THEN {c} ELSE {c} * (300.0::DOUBLE / dpi) END) AS INT)"
@@ -189,8 +241,9 @@ def _images() -> dict[str, str]:
         "image_smart": with_(images, smart, then=f"SELECT doc_id, page_number, image_index, width, height, {label} FROM smart"),
         "image_dedup": with_(images, then="SELECT doc_id, page_number, image_index, image_hash FROM (SELECT *, md5(decode(image_data)) AS image_hash, row_number() OVER (PARTITION BY doc_id, md5(decode(image_data)) ORDER BY page_number, image_index) AS copy FROM images) WHERE copy <= 1"),
         "image_describe": with_(images, smart, said, then="SELECT * FROM said"),
-        "image_chunks": with_(images, smart, said, then=f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, image_index) - 1 AS INT) AS chunk_index, {line} AS content, CASE WHEN success THEN 'success' ELSE 'failed' END AS processing_status FROM said"),
-        "image_enrich": with_(images, smart, said, ("p", D.duckdb(D.TURNS)), ("l", f"SELECT doc_id, page_number, string_agg({line}, chr(10) ORDER BY image_index) AS lines, CAST(count(*) AS INT) AS n FROM said GROUP BY doc_id, page_number"), then="SELECT p.doc_id, p.page_number, CASE WHEN lines IS NULL THEN text ELSE text || chr(10) || chr(10) || lines END AS text, coalesce(n, 0) AS n_images FROM p LEFT JOIN l USING (doc_id, page_number)"),
+        "image_chunks": with_(images, smart, said, _PICTURES, then="SELECT doc_id, chunk_index, content, processing_status FROM pictures"),
+        "image_vision": with_(images, smart, then="SELECT doc_id, page_number, image_index, 'success' AS outcome, 'image/jpeg ' || ((octet_length(image_data) + 2) // 3 * 4) AS answer FROM smart"),
+        "image_enrich": with_(images, smart, said, ("p", D.duckdb(D.TURNS)), _LINES_OF_PAGES, then="SELECT p.doc_id, p.page_number, CASE WHEN lines IS NULL THEN text ELSE text || chr(10) || chr(10) || lines END AS text, coalesce(n, 0) AS n_images FROM p LEFT JOIN l USING (doc_id, page_number)"),
         "image_resize": with_(("s", "SELECT doc_id, CAST(n_chars % 3000 + 1 AS INT) AS width, CAST(n_chars % 1700 + 1 AS INT) AS height, CAST(doc_id % 4 * 100 AS INT) AS dpi FROM documents"), then=f"SELECT doc_id, {scaled('width')} AS vision_width, {scaled('height')} AS vision_height, {dpi('width')} AS dpi_width, {dpi('height')} AS dpi_height FROM s"),
         "image_skew": with_(("s", "SELECT doc_id, -(doc_id % 900) / 10.0::DOUBLE AS angle, doc_id % 40 AS pixels FROM documents"), then=f"SELECT doc_id, round(CASE WHEN pixels < 10 OR abs({turn}) < 0.5 THEN 0.0 ELSE {turn} END, 6) AS turn FROM s"),
         "image_binarize": "SELECT doc_id, CAST(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (doc_id * 7 + k * 37) % 256 > 128 THEN 255 ELSE 0 END)) AS BIGINT) AS white FROM documents",
@@ -204,6 +257,8 @@ def _service() -> dict[str, str]:
     rows = ", ".join(f"('{s}', '{STAGES.get(s.lower(), 'IDLE')}')" for s in stages)
     languages = ", ".join(f"('{k}', '{v}')" for k, v in [*LANGUAGES.items(), ("KLINGON", "por")])
     return {
+        "option_resolution": "SELECT CAST(r AS INT) AS request, strategy, CAST(a AS INT) AS chunk_size, CAST(b AS INT) AS min_chunk_size, CAST(c AS INT) AS chunk_overlap, t::DOUBLE AS similarity_threshold, detect_images FROM (VALUES (0, 'page', 4000, 200, 0, 0.7, true), (1, 'hybrid', 4000, 200, 0, 0, true), (2, 'page', 900, 50, 10, 0.7, false), (3, 'page', 4000, 200, 0, 0.7, true)) AS v(r, strategy, a, b, c, t, detect_images)",
+        "request_mapping": "SELECT CAST(r AS INT) AS request, provider, model, temperature::DOUBLE AS temperature, CAST(n AS INT) AS max_tokens, strategy, api_key FROM (VALUES (0, 'openai', 'm', 0.5, 100, 'semantic', 'k'), (1, NULL, NULL, NULL, NULL, 'page', NULL), (2, NULL, NULL, NULL, NULL, 'page', NULL)) AS v(r, provider, model, temperature, n, strategy, api_key)",
         "validate_document": "SELECT source AS bucket, file_key, coalesce(known, false) AS \"exists\", lower(file_key) LIKE '%.pdf' AS supported, CASE WHEN coalesce(known, false) AND lower(file_key) LIKE '%.pdf' THEN 'OK' ELSE 'Documento inválido' END AS message FROM (SELECT source, CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS file_key, doc_id % 4 <> 0 AS known FROM documents)",
         "wire_stage_map": f"SELECT * FROM (VALUES {rows}) AS t(stage, code)",
         "wire_language_map": f"SELECT * FROM (VALUES {languages}) AS t(\"language\", code)",

@@ -7,14 +7,16 @@ deterministic stand-ins for tests; none of them pretends to recognise or underst
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirion.schema import SPAN
+from quirion.schema import DECODED_PAGE, DECODED_SPAN, SPAN
 
 SPAN_COLUMNS = [c.split()[0] for c in SPAN.split(", ")]
 
@@ -110,6 +112,44 @@ def decoded_spans(files: DataFrame, decoder: PdfDecoder) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, SPAN)
 
 
+def decoded_pages(files: DataFrame, decoder: PdfDecoder) -> DataFrame:
+    """A row for each page of files (``doc_id``, ``content``): size, rectangles of images, spans, and its picture if the decoder has one.
+
+    A file that can't be read gives one row with ``error`` and no page, and doesn't stop the others.
+    """
+    spans = [c.split(":")[0] for c in DECODED_SPAN.split(", ")]
+
+    def pages(doc_id: int, content: bytes) -> list[tuple]:
+        try:
+            found = []
+            for page in decoder.pages(bytes(content)):
+                rows = [tuple(s.get(c) for c in spans) for s in page["spans"]]
+                rects = [(float(r["w"]), float(r["h"])) for r in page.get("image_rects", [])]
+                found.append((doc_id, page["page_number"], float(page["page_w"]), float(page["page_h"]), rects, rows, page.get("image_data"), None))
+            return found
+        except Exception as error:
+            return [(doc_id, None, None, None, [], [], None, str(error))]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for doc_id, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                columns = list(zip(*pages(doc_id, content or b""), strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(_named(c, t), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    schema = files.sparkSession.createDataFrame([], DECODED_PAGE).schema
+    arrow = to_arrow_schema(schema)
+    names, types = list(arrow.names), list(arrow.types)
+    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
+def _named(column: Iterable, kind: pa.DataType) -> list:
+    """Lists of tuples as lists of named fields."""
+    if not pa.types.is_list(kind):
+        return list(column)
+    fields = [kind.value_type.field(k).name for k in range(kind.value_type.num_fields)]
+    return [[dict(zip(fields, row, strict=True)) for row in rows] for rows in column]
+
+
 def described(images: DataFrame, provider: object, prompt: str, encode: Callable[[bytes], bytes] | None = None, retries: int = 1, delay: float = 1.0) -> DataFrame:
     """Adds ``outcome`` (success, no_vision_support or processing_error) and ``answer`` to images.
 
@@ -166,6 +206,32 @@ class HashEmbedder:
         return out
 
 
+class LetterEmbedder:
+    """Counts of the letters a to z. A stand-in for tests that SQL can follow."""
+
+    size = 26
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(text.count(chr(97 + k))) for k in range(self.size)] for text in texts]
+
+
+class JsonDecoder:
+    """Reads files that are JSON lists of blocks of pages. A stand-in for tests; a page's picture says ``ocr`` and its number."""
+
+    def pages(self, content: bytes) -> Iterator[dict]:
+        import json
+
+        found: dict[int, list[dict]] = {}
+        for block in json.loads(content):
+            found.setdefault(block["page_number"], []).append(block)
+        for number, blocks in sorted(found.items()):
+            spans = [
+                {"block_no": b["block_idx"], "line_no": 0, "span_no": 0, "block_type": 0, "text": b["text"], "size": b["font_size"], "flags": 16 * b["is_bold"]} | {c: b[c] for c in ("x0", "x1", "y0", "y1")}
+                for b in blocks
+            ]
+            yield {"page_number": number, "page_w": 595, "page_h": 842, "image_rects": [{"w": 100, "h": 50}], "spans": spans, "image_data": f"ocr {number}".encode()}
+
+
 class EchoOcr:
     """Returns the bytes of the image as text. A stand-in for tests."""
 

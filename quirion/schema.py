@@ -10,6 +10,11 @@ BLOCK = (
 SPAN = (
     "doc_id BIGINT, page_number INT, block_no INT, line_no INT, span_no INT, block_type INT, text STRING, size DOUBLE, flags INT"
 )
+DECODED_SPAN = "block_no: INT, line_no: INT, span_no: INT, block_type: INT, text: STRING, size: DOUBLE, flags: INT, x0: DOUBLE, x1: DOUBLE, y0: DOUBLE, y1: DOUBLE"
+DECODED_PAGE = (
+    "doc_id BIGINT, page_number INT, page_w DOUBLE, page_h DOUBLE, image_rects ARRAY<STRUCT<w: DOUBLE, h: DOUBLE>>, "
+    f"spans ARRAY<STRUCT<{DECODED_SPAN}>>, image_data BINARY, error STRING"
+)
 OCR_WORD = (
     "doc_id BIGINT, level INT, text STRING, conf STRING, `left` INT, top INT, width INT, height INT, page_num INT, block_num INT, par_num INT, line_num INT, word_num INT"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quirion-")
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where all run in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="quirion-")
     return f"{top.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

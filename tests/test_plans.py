@@ -8,7 +8,7 @@ from quirion.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Queries that use a provider or a stream, and so Python or files of their own.
-OTHER = {"chunk_semantic_embedded", "chunk_page_stream"}
+OTHER = {"chunk_semantic_embedded", "chunk_page_stream", "file_events", "image_vision"}
 NAMES = sorted(set(catalogue.queries()) - OTHER)
 
 
@@ -34,6 +34,12 @@ def test_one_shuffle(plans, name):
     assert len(re.findall(r"Exchange hashpartitioning", plans[name])) == 1
 
 
+@pytest.mark.parametrize("name", ["noise_removed", "section_class"])
+def test_blocks_are_read_once(plans, name):
+    # One scan derives the blocks, others the numbers and texts of pages.
+    assert len(re.findall(r"Generate inline", plans[name])) == 1
+
+
 @pytest.mark.parametrize("name", ["chunk_paragraph", "chunk_hybrid", "chunk_semantic_simple", "para_split"])
 def test_chunks_shuffle_by_document_only(plans, name):
     assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plans[name])) == {"doc_id"}

@@ -45,3 +45,32 @@ def test_operator(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(bytes_in) <= max(50_001, sum(bytes_in) / 16 + 50_001)
     assert shard(docs.limit(0)).count() == 0
+
+
+def test_cuts_are_exact_over_groups_of_equal_texts(spark, monkeypatch):
+    """With few units, so that a unit holds many texts, the largest shard is as small as it can be."""
+    from pyspark.sql import functions as F
+
+    from quirion.llm import sharding
+
+    monkeypatch.setattr(sharding, "UNITS", 1 << 12)
+    monkeypatch.setattr(sharding, "UNIT_BITS", 12)
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([1, 10, 300, 2000]) + str(k) for k in range(20_000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k, texts[k]) for k in range(0, 20_000, 9)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = docs.groupBy(F.coalesce("text", F.lit("")).alias("t")).agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * (F.octet_length("t") + 1)).alias("size"), F.xxhash64("t").alias("h")).collect()
+    order = [r["size"] for r in sorted(groups, key=lambda r: r.h % (1 << 64))]
+    for shards in (1, 7, 16):
+        held = {r["shard"]: r["n"] for r in shard(docs, shards, ["doc_id"]).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+        assert max(held.values()) == smallest_capacity(np.array(order), shards)
+
+
+def test_very_long_and_very_common_texts(spark):
+    rows = [(None, "hot")] * 3000 + [(k, "y" * 300_000) for k in range(3)] + [(k, f"t{k}") for k in range(500)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    where, slots = {}, {}
+    for r in got:
+        assert where.setdefault(r.text, r.shard) == r.shard
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())

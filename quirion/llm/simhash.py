@@ -269,10 +269,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, id_col:
     """One row per row of the input: its id, ``fingerprint`` in hex and ``component_id``, the smallest id reachable."""
     marked = common.cut(fingerprints(docs, words, id_col, text_col))
     fps = common.cut(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
-    grouped = components(links(fps, threshold)).select(F.col("node").alias("fp"), "label")
+    grouped = common.cut(components(links(fps, threshold)).select(F.col("node").alias("fp"), "label"))
     members = grouped.join(fps, "fp")
-    smallest = members.groupBy("label").agg(F.min("first").alias("component_id"))
-    resolved = grouped.join(smallest, "label").select("fp", "component_id")
+    smallest = common.cut(members.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    resolved = common.join_hot(grouped, smallest, "label", "n", HOT, ["fp"]).select("fp", "component_id")
     ids = fps.join(resolved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return common.join_hot(marked, ids, "fp", "n", HOT).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")

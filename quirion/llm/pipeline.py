@@ -4,7 +4,7 @@ Every stage takes the documents that the stage before kept and returns the colum
 ``shard`` and ``slot``. Stages are written as Parquet and read again by the next one.
 
 * language: documents whose language isn't told (``und``) or hardly (a score under ``LEAST_SCORE``, or under ``OVER_CHANCE`` times that of chance where there are many languages) go.
-* near_duplicates: of each group of texts with a similarity of five-word shingles of 0.8 or more, the first stays.
+* near_duplicates: of each group of texts with a similarity of five-word shingles of 0.8 or more, found by operator 5's search over several fingerprints of a text, the first stays.
 * decontamination: documents that hold a benchmark item go.
 * mixing: a document comes as often as the mix takes it, from not at all to three times.
 * sharding (columns ``shard`` and ``slot`` of the input are replaced): rows are placed in 16 shards of near equal bytes; copies of a text share a shard, slots have no gaps.

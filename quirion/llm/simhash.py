@@ -190,8 +190,8 @@ def _summed(df: DataFrame, count, size: int) -> np.ndarray:
     return out
 
 
-def planned(fps: DataFrame, threshold: int, partitions: int | None = None) -> Plan:
-    """The plan for a table of distinct fingerprints. The driver gets some thousand counters, or 262 144 with two partitions."""
+def planned(fps: DataFrame, threshold: int, partitions: int | None = None, crowd: int = 1) -> Plan:
+    """The plan for a table of distinct fingerprints; an average bucket may have ``crowd`` times as many. The driver gets some thousand counters, or 262 144 with two partitions."""
 
     def pairs(x: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -199,7 +199,7 @@ def planned(fps: DataFrame, threshold: int, partitions: int | None = None) -> Pl
 
     got = _summed(fps, pairs, 1 + BITS * BITS)
     n, together = int(got[0]), got[1:].reshape(BITS, BITS)
-    groups = grouped_bits(together, np.diag(together), n, partitions or partitions_for(n))
+    groups = grouped_bits(together, np.diag(together), n, partitions or partitions_for(-(-n // crowd)))
     halves = [h for g in groups for h in (g[: len(g) // 2], g[len(g) // 2 :])]
     ends = np.cumsum([0, *(1 << len(h) for h in halves)])
 
@@ -235,20 +235,24 @@ def _keyed(fps: DataFrame, plan: Plan, probing: bool) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(fps: DataFrame, threshold: int = 2, partitions: int | None = None) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 2, partitions: int | None = None, crowd: int = 1) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all pairs of distinct fingerprints within ``threshold`` bits.
 
-    ``partitions`` is what ``partitions_for`` gives, or another number.
+    ``partitions`` is what ``partitions_for`` gives, or another number. Buckets may have ``crowd`` times as many
+    fingerprints as operator 5 lets them: more pairs are compared, and fewer rows dealt.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("crowded buckets are resolved for thresholds of 0 to 2 only")
-    plan = planned(fps, threshold, partitions)
+    plan = planned(fps, threshold, partitions, crowd)
     own, probes = _keyed(fps, plan, probing=False), _keyed(fps, plan, probing=True)
-    crowded = common.cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key"))
-    sparse = own.join(crowded, "key", "left_anti").withColumnRenamed("fp", "b")
+    crowded = common.cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET * crowd).select("key"))
+    none = crowded.isEmpty()
+    sparse = (own if none else own.join(crowded, "key", "left_anti")).withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = probes.withColumnRenamed("fp", "a").join(sparse, "key").filter((F.col("a") != F.col("b")) & (near <= threshold))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if none:
+        return pairs
     met = crowded.join(probes.select("key"), "key", "left_semi")
     left = probes.join(met, "key", "left_semi").union(own.join(met, "key", "left_semi")).select("fp").distinct()
     return pairs.union(_crowded_links(left, threshold))

@@ -1,12 +1,19 @@
 """SimHash near-duplicates by a similarity of shingle sets, for filtering.
 
-Whether two texts are alike is decided by the Jaccard similarity of their sets of shingles. Candidates come from SimHash
-fingerprints of ``PARTS`` partitions of 64 bits. The shingles are dealt into as many classes by their hash, and a partition's bits are
-set by the majority of the ``SAMPLE`` shingles of its class that have the least hashes. So the bits of a partition depend on
-the same few shingles: two texts agree in all of them or in few, which is the pigeonhole search's grouping of correlated
-bits carried to its end, and a threshold of zero in each partition loses nothing but pairs whose few shingles differ in all
-classes. At a similarity ``s`` that has a chance of about ``(1 - s ** SAMPLE) ** PARTS``: at 0.8, one in 580. Neither
-number depends on how many texts there are, and a text takes ``PARTS`` short rows at any size.
+Whether two texts are alike is decided by the Jaccard similarity of their sets of shingles. Candidates come from operator
+5's search over several SimHash fingerprints of a text: that of all its shingles, and ``PARTS`` partitions of 64 bits
+each. The shingles are dealt into as many classes by their hash, and a partition's bits are set by the majority of the
+``SAMPLE`` shingles of its class that have the least hashes. So the bits of a partition depend on the same few shingles,
+and two texts agree in all of them or in few. The search (``simhash.links``) takes the distinct values of all of these:
+it groups their correlated bits, gives each its own thresholds by the dynamic programme, probes, and links those within
+``NEAR`` bits. Values linked, directly or through others, make a bucket, and each two texts of it are a candidate pair.
+
+So texts that differ in at most ``NEAR`` bits in any of the fingerprints are found, whatever thresholds are chosen. By
+the pigeonhole principle these are all texts that differ in less than ``PARTS * (NEAR + 1)`` bits of the partitions. At a
+similarity ``s``, two texts agree in no partition with a chance of about ``(1 - s ** SAMPLE) ** PARTS``: at 0.8, one in
+580. Neither number depends on how many texts there are, and a text takes one short row for each fingerprint, which the
+search takes for three bits' groups and a probe or more of each. Values of different partitions come from different
+shingles; where they link by chance, verification parts them.
 
 Pairs are verified only if the 64 bits of operator 5's fingerprint are near enough. Buckets of at most ``SMALL`` texts
 give their pairs. In larger ones each text is paired with the text that has most copies. Where a bucket still has several
@@ -31,11 +38,13 @@ from pyspark.sql import functions as F
 
 from quirion.llm import common
 from quirion.llm.components import components
-from quirion.llm.simhash import BITS, fingerprint, shingle_hashes
+from quirion.llm.simhash import BITS, fingerprint, links, shingle_hashes
 from quirion.llm.token_store import mixed
 
 #: Partitions of a fingerprint, and shingles that set the bits of one.
 PARTS, SAMPLE = 16, 5
+#: Bits in which linked values differ at most, and how many times operator 5's number of values a bucket of the search may have.
+NEAR, CROWD = 2, 64
 #: Members up to which a bucket gives all its pairs, and texts on either side of a block of a larger one.
 SMALL, BLOCK = 8, 1024
 #: A text or bucket with over this share of all rows is split; so there are at most as many.
@@ -235,21 +244,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sides.filter((either == 0) | (shared / F.nullif(either, F.lit(0)) >= similarity)).select("a", "b")
 
 
+def gathered(keyed: DataFrame) -> DataFrame:
+    """The members ``key``, ``node``, ``fp`` of the buckets of values (``value``, ``node``, ``fp``, ``copies``), with their bucket's ``size``, ``lead`` and ``lead_fp``.
+
+    A bucket holds all values that operator 5's links join. Values without links that one text has are left out.
+    """
+    values = common.cut(keyed.select(F.col("value").alias("fp")).distinct())
+    joined = components(links(values, NEAR, crowd=CROWD)).select(F.col("node").alias("value"), F.col("label").alias("key"))
+    held = keyed.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node", "fp")).alias("top"))
+    held = common.cut(held.join(joined, "value", "left").filter("n > 1 OR key IS NOT NULL").withColumn("key", F.coalesce("key", "value")))
+    buckets = held.groupBy("key").agg(F.sum("n").alias("size"), F.max("top").alias("top"), F.count(F.lit(1)).alias("values"))
+    buckets = common.cut(buckets.select("key", "size", F.col("top.node").alias("lead"), F.col("top.fp").alias("lead_fp"), "values"))
+    of_value = common.cut(common.join_hot(held.select("value", "key", "n"), buckets, "key", "values", HOT, ["value"]))
+    return common.join_hot(keyed.drop("copies"), of_value, "value", "n", HOT, ["node"]).drop("value")
+
+
 def groups(own: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
     """The distinct texts (``node``, ``first``, ``n``) of rows (``digest``, ``id``, ``text``), and ``node`` and ``label`` of those in groups."""
     most = most_differing(similarity)
     # Fingerprints are made where the texts are; what moves is a row of some hundred bytes.
     found = marked(own, words).groupBy(F.col("digest").alias("node"))
     texts = common.cut(found.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("parts").alias("parts")))
-    keyed = texts.select("node", "fp", F.col("n").alias("copies"), F.posexplode("parts").alias("part", "value")).filter("value IS NOT NULL")
-    keyed = keyed.select(F.xxhash64("part", "value").alias("key"), "node", "fp", "copies")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("copies", "node")).alias("lead"), F.max_by("fp", F.struct("copies", "node")).alias("lead_fp"))
-    buckets = common.cut(buckets.filter("size > 1").withColumn("n", F.col("size")))
-    members = common.cut(common.join_hot(keyed.drop("copies"), buckets, "key", "n", HOT, ["node"]))
+    values = F.array_distinct(F.concat(F.array("fp"), F.array_compact("parts")))
+    members = common.cut(gathered(texts.select("node", "fp", F.col("n").alias("copies"), F.explode(values).alias("value"))))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= most
     leads = members.filter((F.col("size") > SMALL) & (F.col("node") != F.col("lead")) & near).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     small = _small_pairs(members, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = common.cut(small.union(leads).distinct())
+    pairs = common.cut(small.union(leads).filter("a <> b").distinct())
     sets = common.cut(_sets(own, texts, members.select("node").distinct(), words))
     labels = common.cut(components(_verified(pairs, sets, similarity)))
     tops = components(_between_groups(members, labels, sets, most, similarity))

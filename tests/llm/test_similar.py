@@ -1,9 +1,11 @@
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from quirion.llm import simhash
 from quirion.llm import similar as S
 
 
@@ -172,3 +174,54 @@ def test_small_pairs_are_all_near_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def test_values_are_searched_by_operator_5(spark, monkeypatch):
+    """Buckets are the components of values within two bits, found by its plan's thresholds, whichever of its rules links them."""
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(300)]
+    for _ in range(300):
+        x = rng.choice(values)
+        for b in rng.sample(range(64), rng.choice([0, 1, 2, 2, 3])):
+            x ^= 1 << b
+        values.append(x)
+    rows = [(x - (1 << 64) if x >> 63 else x, bytearray(k.to_bytes(16, "big")), k, 1 + k % 3) for k, x in enumerate(values)]
+    want = grouped(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 2])
+    want = {g for g in want if len(g) > 1}
+    plans = []
+    thresholds = simhash.Plan.thresholds
+    monkeypatch.setattr(simhash, "planned", lambda *a, made=simhash.planned, **k: plans.append(made(*a, **k)) or plans[-1])
+    for bucket in (simhash.BUCKET, 0):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = defaultdict(list)
+        for r in S.gathered(spark.createDataFrame(rows, "value long, node binary, fp long, copies long")).collect():
+            got[r.key].append(r)
+        assert {frozenset(r.fp for r in g) for g in got.values()} == want
+        for g in got.values():
+            lead = max(g, key=lambda r: (1 + r.fp % 3, bytes(r.node)))
+            assert all((r.size, bytes(r.lead), r.lead_fp) == (len(g), bytes(lead.node), lead.fp) for r in g)
+    chosen = thresholds(plans[0], np.array(values, np.uint64))
+    assert len(plans) == 2 and (chosen.sum(axis=0) + len(chosen) == S.NEAR + 1).all()
+
+
+def test_edits_in_the_sample_of_every_class(spark):
+    """Texts that agree in no partition, but whose fingerprints of all shingles are within two bits."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    while len(rows) < 6:
+        words = [word() for _ in range(2500)]
+        hashes = simhash.shingle_hashes(" ".join(words), 5)
+        edited = list(words)
+        for c in range(S.PARTS):
+            at = np.flatnonzero(hashes % np.uint64(S.PARTS) == c)
+            edited[int(at[hashes[at].argmin()]) + 2] = word()
+        texts = [" ".join(words), " ".join(edited)]
+        sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+        (x, y), _ = S.partitions(sets)
+        far = (simhash.fingerprint(sets[0]) ^ simhash.fingerprint(sets[1])).bit_count()
+        if not (x == y).any() and far <= 2:
+            assert jaccard(shingles(texts[0]), shingles(texts[1])) > 0.9
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 2, 4}
